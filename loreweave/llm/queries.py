@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that it can express."""
 
-from loreweave.llm import quality
+from loreweave.llm import quality, simhash
 
 QUERIES = {
+    "op7_simhash_golay": simhash.query,
     "op10_quality_rules": quality.query,
 }
 
