@@ -1,10 +1,14 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that it can express."""
 
-from loreweave.llm import quality, simhash
+from loreweave.llm import decontaminate, quality, simhash, suffix_dedup
 
 QUERIES = {
+    "op1_decontamination": decontaminate.query,
+    "op5_suffix_array_dedup": suffix_dedup.query,
     "op7_simhash_golay": simhash.query,
     "op10_quality_rules": quality.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_decontamination": decontaminate.SQL,
+}
