@@ -231,6 +231,12 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
     return unpacked(scored, keep, [c for c in scored.columns if c != "_row"])
 
 
+def kept(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The documents that rules and model keep, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), F.col(f"`{text}`").alias("_t"))
+    return score(whole, model, "_t", keep=["_whole"]).where("kept").select("_whole.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])

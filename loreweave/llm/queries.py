@@ -1,12 +1,15 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that it can express."""
 
-from loreweave.llm import decontaminate, quality, simhash, suffix_dedup
+import corpus_pipeline
+from loreweave.llm import decontaminate, packing, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op5_suffix_array_dedup": suffix_dedup.query,
     "op7_simhash_golay": simhash.query,
+    "op9_best_fit_packing": packing.query,
     "op10_quality_rules": quality.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {

@@ -310,10 +310,16 @@ def deduplicated(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def trimmed(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """The documents with what is left of their texts, all columns kept; ``null`` texts stay null."""
+    """The documents with what is left of their texts, all columns kept; null texts stay null.
+
+    A column ``n_chars`` is counted anew where bytes were removed.
+    """
     found = deduplicated(docs, text, docs.columns, length, with_text=True)
     left = F.when(F.col(f"_row.`{text}`").isNull() | (F.col("n_removed") == 0), F.col(f"_row.`{text}`")).otherwise(F.col("_kept"))
-    return found.select(*[left.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    counted = F.when(F.col("n_removed") == 0, F.col("_row.n_chars")).otherwise(F.length("_kept")) if "n_chars" in docs.columns else None
+    kind = dict(docs.dtypes)
+    new = lambda c: left if c == text else counted.cast(kind[c]) if c == "n_chars" else F.col(f"_row.`{c}`")
+    return found.select(*[new(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
