@@ -1,6 +1,6 @@
 """Suffix arrays by external induced sorting, for shards that needn't fit in memory.
 
-Text, types, order and ranks lie in memory-mapped files.  The queues of the
+Arrays of more than ``IN_MEMORY`` bytes lie in memory-mapped files.  The queues of the
 induction are the buckets of the first byte: a suffix that is taken from the queue
 in order enters its predecessor at the head (L-type) or end (S-type) of the
 predecessor's bucket.  Entries are taken in blocks, and a block holds only entries
@@ -18,20 +18,25 @@ import tempfile
 import numpy as np
 
 BLOCK = 1 << 18
+IN_MEMORY = 64 << 20
 
 
 class Spool:
-    """Memory-mapped arrays in a folder of the task, which goes with it."""
+    """Arrays of a task; large ones are mapped from a temporary folder that goes with it."""
 
     def __enter__(self):
-        self.path = tempfile.mkdtemp(prefix="spool-")
+        self.path = None
         self.count = 0
         return self
 
     def __exit__(self, *_):
-        shutil.rmtree(self.path, ignore_errors=True)
+        if self.path:
+            shutil.rmtree(self.path, ignore_errors=True)
 
     def array(self, n: int, dtype) -> np.ndarray:
+        if n * np.dtype(dtype).itemsize <= IN_MEMORY:
+            return np.empty(n, dtype)
+        self.path = self.path or tempfile.mkdtemp(prefix="spool-")
         self.count += 1
         return np.memmap(os.path.join(self.path, str(self.count)), dtype, "w+", shape=(max(1, n),))[:n]
 
@@ -60,10 +65,9 @@ def _place(order, at, chars, heads, step) -> None:
             heads[c] -= k
 
 
-def induce(text, s_type, counts, lms, spool) -> np.ndarray:
-    """All suffixes in order, given the leftmost S-type ones in order."""
+def induce(text, s_type, counts, lms, order) -> np.ndarray:
+    """Fills ``order`` with all suffixes, given the leftmost S-type ones in order."""
     n = len(text)
-    order = spool.array(n, np.int64)
     ends = np.cumsum(counts)
     starts = ends - counts
     smallest = lms[np.argsort(text[lms], kind="stable")]
@@ -125,7 +129,7 @@ def _refine(ranks: np.ndarray, active: np.ndarray, reach: int) -> np.ndarray:
 def _name(text, lms, order, is_lms, spool) -> np.ndarray:
     """Ranks of the substrings between leftmost S-type places, by place."""
     ends = np.concatenate([lms[1:] + 1, [len(text)]])
-    number = spool.array(len(text), np.int64)
+    number = spool.array(len(text), order.dtype)
     number[lms] = np.arange(len(lms))
     taken = np.concatenate([np.zeros(0, np.int64), *[number[b[is_lms[b]]] for b in (order[a : a + BLOCK] for a in range(0, len(order), BLOCK))]])
     a, b = lms[taken[:-1]], lms[taken[1:]]
@@ -155,15 +159,16 @@ def suffix_array(text: np.ndarray, spool: Spool, depth: int) -> np.ndarray:
     is_lms[1:] = s_type[1:] & ~s_type[:-1]
     lms = np.flatnonzero(is_lms)
     counts = np.bincount(text, minlength=256).astype(np.int64)
+    order = spool.array(n, np.int32 if n < 1 << 31 else np.int64)
     if len(lms) > 1:
-        ranks = _name(text, lms, induce(text, s_type, counts, lms, spool), is_lms, spool)
+        ranks = _name(text, lms, induce(text, s_type, counts, lms, order), is_lms, spool)
         active = np.flatnonzero((np.bincount(ranks, minlength=len(ranks)) > 1)[ranks])
         reach = 1
         while reach * 2 < 2 * depth + 4 and len(active):  # a substring has two bytes of its own at least
             active = _refine(ranks, active, reach)
             reach *= 2
         lms = lms[np.argsort(ranks)]
-    return induce(text, s_type, counts, lms, spool)
+    return induce(text, s_type, counts, lms, order)
 
 
 def _agree(text, x, y, length) -> np.ndarray:
@@ -192,7 +197,7 @@ def _agree(text, x, y, length) -> np.ndarray:
 def classes(text: np.ndarray, valid: np.ndarray, length: int, spool: Spool) -> tuple[np.ndarray, np.ndarray]:
     """(places, class) of all ``valid`` starts of ``length`` bytes; a class is one string, its places stand together."""
     order = suffix_array(text, spool, length)
-    order = np.concatenate([np.zeros(0, np.int64), *[b[valid[b]] for b in (np.asarray(order[a : a + BLOCK]) for a in range(0, len(order), BLOCK))]])
+    order = np.concatenate([np.zeros(0, np.int64), *[b[valid[b]].astype(np.int64) for b in (np.asarray(order[a : a + BLOCK]) for a in range(0, len(order), BLOCK))]])
     same = np.zeros(max(0, len(order) - 1), bool)
     likely = np.ones(len(same), bool)
     for at in (length - 1, length // 2, 0, length // 3, length - 5):  # turns most pairs away

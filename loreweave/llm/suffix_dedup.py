@@ -32,7 +32,7 @@ from loreweave.llm._meet import joined_totals, pack, pack_sorted, totals, unpack
 from loreweave.llm._shared import packed, table, unpacked, written
 
 LENGTH = 400
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 

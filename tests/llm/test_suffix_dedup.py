@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from loreweave.llm import suffix_array, suffix_dedup
 from tests.llm.cases import corpus, frame, prose
@@ -21,7 +22,10 @@ def expected(texts, length):
         yield len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
 
 
-def test_suffix_array_against_sorting():
+@pytest.mark.parametrize("in_memory, block", [(1 << 26, 1 << 18), (0, 7)])
+def test_suffix_array_against_sorting(monkeypatch, in_memory, block):
+    monkeypatch.setattr(suffix_array, "IN_MEMORY", in_memory)
+    monkeypatch.setattr(suffix_array, "BLOCK", block)
     rng = np.random.default_rng(0)
     for trial in range(60):
         text = rng.integers(97, 97 + rng.integers(1, 5), rng.integers(0, 80)).astype(np.uint8)
