@@ -45,6 +45,8 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 def totals(asks: DataFrame, counts: list[str], n_keys: int, parts_at_least: int | None = None) -> DataFrame:
     """``owner, totals``: for each of ``counts`` (packed, by key), the packed sums over all owners by key.
 
+    ``_new`` marks, for each key, one owner that has it.
+
     ``asks`` has ``owner`` (unique, long), ``keys`` (``pack_sorted``, distinct) and
     the ``counts`` columns.  ``n_keys`` is the number of entries, or more.
     """
@@ -70,16 +72,19 @@ def totals(asks: DataFrame, counts: list[str], n_keys: int, parts_at_least: int
 
     def add(group: pa.Table) -> pa.Table:
         keys = [unpack_sorted(k) for k in group.column("keys").to_pylist()]
-        whole, place = np.unique(np.concatenate(keys), return_inverse=True)
+        whole, seen, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        new = np.zeros(len(place), np.uint64)
+        new[seen] = 1
         sums = [np.bincount(place, weights=np.concatenate([unpack(x) for x in group.column(c).to_pylist()]).astype(float), minlength=len(whole)).astype(np.uint64) for c in counts]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        answers = [[pack(s[at]) for at in np.split(place, cuts)] for s in sums]
-        return pa.table([group.column("owner"), group.column("part"), *[pa.array(a, pa.binary()) for a in answers]], names=["owner", "part", *[f"_{c}" for c in counts]])
+        answers = [[pack(s[at]) for at in np.split(place, cuts)] for s in sums] + [[pack(x) for x in np.split(new, cuts)]]
+        return pa.table([group.column("owner"), group.column("part"), *[pa.array(a, pa.binary()) for a in answers]], names=["owner", "part", *out])
 
+    out = [f"_{c}" for c in [*counts, "new"]]
     fields = ", ".join(f"{c} binary" for c in counts)
     dealt = asks.select("owner", "keys", *counts).mapInArrow(deal, f"part int, owner long, keys binary, {fields}")
-    answered = dealt.groupBy("part").applyInArrow(add, "owner long, part int, " + ", ".join(f"_{c} binary" for c in counts))
-    return answered.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("part", *[f"_{c}" for c in counts]))).alias("totals"))
+    answered = dealt.groupBy("part").applyInArrow(add, "owner long, part int, " + ", ".join(f"{c} binary" for c in out))
+    return answered.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("part", *out))).alias("totals"))
 
 
 def joined_totals(parts: list[dict], count: str) -> np.ndarray:
