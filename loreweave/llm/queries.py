@@ -1,12 +1,15 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that it can express."""
 
 import corpus_pipeline
-from loreweave.llm import decontaminate, packing, quality, simhash, suffix_dedup
+from loreweave.llm import decontaminate, language_model, licenses, packing, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
+    "op2_deleted_interpolation": language_model.query,
+    "op4_toxicity": toxicity.query,
     "op5_suffix_array_dedup": suffix_dedup.query,
     "op7_simhash_golay": simhash.query,
+    "op8_license_scan": licenses.query,
     "op9_best_fit_packing": packing.query,
     "op10_quality_rules": quality.query,
     "pipeline": corpus_pipeline.run,
@@ -14,4 +17,5 @@ QUERIES = {
 
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
+    "op8_license_scan": licenses.SQL,
 }
