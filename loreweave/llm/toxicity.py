@@ -3,9 +3,11 @@
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z; a null
 text has none.
 
-Lexicon: stems (beginnings of words, 4 to 10 characters) of labelled training texts
-that clean texts hardly have, chosen greedily by how many toxic texts they cover
-that no stem before did.  Copies of a text count once.
+Lexicon: stems (beginnings of words, 4 to 10 characters) that toxic training texts
+have significantly more often than clean ones, by a binomial test corrected for the
+number of stems tried.  They are chosen greedily by how many toxic texts they
+explain, a text being explained after ``EXPLAINED`` stems, so that the chance words
+of copies add nothing.  A stem weighs by its log odds.
 
 Matching: the trie of all stems and the automaton of one edit are joined by subset
 construction into one deterministic automaton over characters; all distinct words
@@ -14,7 +16,7 @@ whose misspellings clean training texts have, match exactly only.
 
 Context: a hit is quoted if an odd number of quotation marks precede it in the text,
 and it is dense by how many hits lie within ``WINDOW`` words.  A logistic regression
-weighs unquoted and quoted, exact and misspelled hits and the densest window.
+weighs unquoted and quoted, exact and misspelled hits and the heaviest window.
 
 Learning uses a sample of labelled rows bounded by ``SAMPLE_ROWS`` and
 ``SAMPLE_CHARS``, from documents whose crc32(id) modulo 5 is not ``HELD_OUT``; it
@@ -25,6 +27,7 @@ labels other than 0 and 1 are passed over.  Without toxic rows every score is 0.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +40,11 @@ HELD_OUT = 0
 SAMPLE_ROWS = 8000
 SAMPLE_CHARS = 30_000
 STEM_SIZES = range(4, 11)
-MAX_CLEAN_SHARE = 0.002  # of clean texts that may have a stem
-MIN_TOXIC = 3            # texts a stem must add to what is covered, and
-MIN_TOXIC_SHARE = 0.002  # the share of toxic texts
+MIN_LOG_ODDS = 2.5
+SIGNIFICANCE = 0.05
+EXPLAINED = 6
+MIN_GAIN = 3             # toxic texts that a stem must help to explain
+MAX_CLEAN_SHARE = 0.002  # of clean texts that may have a stem misspelled
 FUZZY_FROM = 5           # characters
 WINDOW = 10
 PREDICTED_FROM = 0.5
@@ -53,15 +58,15 @@ class Automaton:
 
     classes: dict[int, int]
     table: np.ndarray
-    exact: np.ndarray   # a stem is complete without edits
+    exact: np.ndarray   # weight of a stem that is complete without edits
     fuzzy: np.ndarray   # with one edit
     depth: int          # characters after which nothing new can match
 
 
-def automaton(stems: list[str], fuzzy: set[str]) -> Automaton:
+def automaton(stems: dict[str, float], fuzzy: set[str]) -> Automaton:
     """Subset construction over (trie node, edits)."""
     nodes: list[dict[str, int]] = [{}]
-    complete: list[bool] = [False]
+    complete: list[float] = [0.0]
     edits_for: list[bool] = [False]  # some stem below may be misspelled
     for stem in stems:
         at = 0
@@ -70,11 +75,11 @@ def automaton(stems: list[str], fuzzy: set[str]) -> Automaton:
             if c not in nodes[at]:
                 nodes[at][c] = len(nodes)
                 nodes.append({})
-                complete.append(False)
+                complete.append(0.0)
                 edits_for.append(False)
             at = nodes[at][c]
             edits_for[at] |= stem in fuzzy
-        complete[at] = True
+        complete[at] = stems[stem]
     alphabet = sorted({c for n in nodes for c in n})
     ends_fuzzy = {}
     for stem in stems:
@@ -112,18 +117,18 @@ def automaton(stems: list[str], fuzzy: set[str]) -> Automaton:
                 queue.append(to)
             row.append(number[to])
         table.append(row)
-    exact, near = np.zeros(len(number), bool), np.zeros(len(number), bool)
+    exact, near = np.zeros(len(number)), np.zeros(len(number))
     for states, k in number.items():
-        exact[k] = any(complete[n] and e == 0 for n, e in states)
-        near[k] = any(complete[n] and e == 1 and ends_fuzzy[n] for n, e in states)
+        exact[k] = max((complete[n] for n, e in states if e == 0), default=0)
+        near[k] = max((complete[n] for n, e in states if e == 1 and ends_fuzzy.get(n)), default=0)
     return Automaton({ord(c): i + 1 for i, c in enumerate(alphabet)}, np.array(table, np.int32), exact, near, max(map(len, stems), default=0) + 1)
 
 
-def run_words(a: Automaton, words: list[str]) -> np.ndarray:
-    """0, 1 (misspelled stem) or 2 (stem) for each word."""
-    out = np.zeros(len(words), np.int8)
+def run_words(a: Automaton, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the heaviest stem and the heaviest misspelled stem of each word, 0 for none."""
+    exact, fuzzy = np.zeros(len(words)), np.zeros(len(words))
     if not words or a.depth <= 1:
-        return out
+        return exact, fuzzy
     codes = np.array([w[: a.depth] for w in words], f"U{a.depth}").view(np.uint32).reshape(len(words), a.depth)
     known, place = np.unique(codes, return_inverse=True)
     classes = np.array([a.classes.get(int(c), 0) for c in known])[place].reshape(codes.shape)
@@ -132,38 +137,42 @@ def run_words(a: Automaton, words: list[str]) -> np.ndarray:
         going = codes[live, at] > 0
         live, state = live[going], state[going]
         state = a.table[state, classes[live, at]]
-        out[live[a.fuzzy[state]]] = np.maximum(out[live[a.fuzzy[state]]], 1)
-        out[live[a.exact[state]]] = 2
+        exact[live] = np.maximum(exact[live], a.exact[state])
+        fuzzy[live] = np.maximum(fuzzy[live], a.fuzzy[state])
         alive = state > 0
         live, state = live[alive], state[alive]
-    return out
+    return exact, np.where(exact > 0, 0, fuzzy)
 
 
-def features(p: B.Piece, a: Automaton) -> np.ndarray:
-    """Log counts of exact, quoted exact, misspelled, quoted misspelled hits, the densest window, and any hit."""
+def distinct_words(p: B.Piece) -> tuple[list[str], np.ndarray]:
+    """Distinct words of the piece, and which one each word is."""
     p.words(B.ALNUM)
     p.prefix()
-    out = np.zeros((p.n, N_FEATURES))
-    if not len(p.start):
-        return out
     _, first, own = np.unique(p.span(p.start, p.end), return_index=True, return_inverse=True)
     data = p.data.tobytes()
-    words = [data[s:e].decode("utf-8", "replace") for s, e in zip(p.start[first].tolist(), p.end[first].tolist())]
-    found = run_words(a, words)[own]
-    hits = np.flatnonzero(found)
+    return [data[s:e].decode("utf-8", "replace") for s, e in zip(p.start[first].tolist(), p.end[first].tolist())], own
+
+
+def features(p: B.Piece, a: Automaton) -> np.ndarray:
+    """Weights of exact, quoted exact, misspelled, quoted misspelled hits (log), of the heaviest window, and any hit."""
+    out = np.zeros((p.n, N_FEATURES))
+    words, own = distinct_words(p)
+    if not words:
+        return out
+    exact, fuzzy = (w[own] for w in run_words(a, words))
+    hits = np.flatnonzero(exact + fuzzy)
     if not len(hits):
         return out
-    kind, doc = found[hits], p.doc[hits]
+    data, doc = p.data.tobytes(), p.doc[hits]
     for k in np.unique(doc).tolist():
         at = hits[doc == k]
         text = data[p.bounds[k] : p.bounds[k + 1]]
         marks = np.array(sorted(i for q in QUOTES for i in _all(text, chr(q).encode())))
         quoted = np.searchsorted(marks, p.start[at] - p.bounds[k]) % 2 == 1
-        dense = np.searchsorted(at, at + WINDOW, "right") - np.searchsorted(at, at - WINDOW, "left")
-        exact = kind[doc == k] == 2
-        counts = [exact & ~quoted, exact & quoted, ~exact & ~quoted, ~exact & quoted]
-        out[k, :4] = np.log1p([c.sum() for c in counts])
-        out[k, 4] = np.log(dense.max())
+        weight = np.concatenate([[0], np.cumsum(exact[at] + fuzzy[at])])
+        heavy = weight[np.searchsorted(at, at + WINDOW, "right")] - weight[np.searchsorted(at, at - WINDOW, "left")]
+        out[k, :4] = np.log1p([w[at][which].sum() for w in (exact, fuzzy) for which in (~quoted, quoted)])
+        out[k, 4] = np.log1p(heavy.max())
         out[k, 5] = 1
     return out
 
@@ -188,23 +197,36 @@ def _stems(iterator):
             yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), pa.array(out, pa.list_(pa.string()))], ["id", "y", "stems"])
 
 
-def choose(covers: dict[str, set], least: int) -> list[str]:
-    """Greedy cover: the stem that adds most texts (of several the longest, then the first), until it adds too few."""
-    chosen, open_ = [], {s: set(d) for s, d in covers.items()}
+def significant(toxic: int, clean: int, n_toxic: int, n_clean: int, tried: int) -> bool:
+    """Would so many toxic texts have it by chance, at the rate of clean ones, in one of all trials?"""
+    rate = min(0.5, (clean + 1) / (n_clean + 1))
+    tail = sum(exp(lgamma(n_toxic + 1) - lgamma(k + 1) - lgamma(n_toxic - k + 1) + k * log(rate) + (n_toxic - k) * log1p(-rate)) for k in range(toxic, min(n_toxic, toxic + 60) + 1))
+    return toxic > rate * n_toxic and tail * tried < SIGNIFICANCE
+
+
+def choose(covers: dict[str, set], costs: dict[str, float]) -> list[str]:
+    """Greedy choice by texts a stem helps to explain less its cost (of several the longest, then the first)."""
+    chosen, left = [], dict.fromkeys((d for c in covers.values() for d in c), EXPLAINED)
+    open_ = {s: set(d) for s, d in covers.items()}
     while open_:
-        best = max(open_, key=lambda s: (len(open_[s]), len(s), s))
+        best = max(open_, key=lambda s: (len(open_[s]) - costs[s], len(s), s))
         mine = open_.pop(best)
-        if len(mine) < least:
+        if len(mine) - costs[best] < MIN_GAIN:
             break
         chosen.append(best)
-        open_ = {s: left for s, d in open_.items() if (left := d - mine)}
+        done = set()
+        for d in mine:
+            left[d] -= 1
+            if not left[d]:
+                done.add(d)
+        open_ = {s: d - done for s, d in open_.items() if not (s.startswith(best) or best.startswith(s))}
     return chosen
 
 
 @dataclass(frozen=True)
 class Model:
     automaton: Automaton
-    stems: list[str]
+    stems: dict[str, float]
     weights: np.ndarray  # by feature, then the constant
 
 
@@ -233,16 +255,20 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return None
     with_stems = written(sample.select("id", "y", "_text").mapInArrow(_stems, "id long, y int, stems array<string>"), "stems")
     rows = with_stems.select("id", "y", F.explode("stems").alias("stem"))
-    least = max(MIN_TOXIC, int(MIN_TOXIC_SHARE * sizes[1]))
+    n_toxic, n_clean = sizes[1], sizes.get(0, 0)
     counted = rows.groupBy("stem").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
-    likely = counted.where((F.col("toxic") >= least) & (F.col("clean") <= MAX_CLEAN_SHARE * sizes.get(0, 0)))
-    covers: dict[str, set] = {}
-    for r in rows.where("y = 1").join(likely, "stem").select("stem", "id").collect():  # of the bounded sample
-        covers.setdefault(r.stem, set()).add(r.id)
-    stems = choose(covers, least)
+    tried = counted.count()
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    likely = counted.where((F.col("toxic") >= MIN_GAIN) & (odds >= MIN_LOG_ODDS)).withColumn("weight", odds)
+    covers, costs, weights = {}, {}, {}
+    for r in rows.where("y = 1").join(likely, "stem").groupBy("stem", "toxic", "clean", "weight").agg(F.collect_set("id").alias("ids")).collect():  # of the bounded sample
+        if significant(r.toxic, r.clean, n_toxic, n_clean, tried):
+            covers[r.stem], weights[r.stem] = set(r.ids), r.weight
+            costs[r.stem] = 10 * r.clean * n_toxic / max(1, n_clean)
+    stems = {s: weights[s] for s in choose(covers, costs)}
     fuzzy = {s for s in stems if len(s) >= FUZZY_FROM}
     clean_hits = _fuzzy_in_clean(sample.where("y = 0"), stems, fuzzy)
-    fuzzy = {s for s in fuzzy if clean_hits.get(s, 0) <= MAX_CLEAN_SHARE * sizes.get(0, 0)}
+    fuzzy = {s for s in fuzzy if clean_hits.get(s, 0) <= MAX_CLEAN_SHARE * n_clean}
     built = automaton(stems, fuzzy)
     shared = spark.sparkContext.broadcast(built)
 
@@ -255,23 +281,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return Model(built, stems, _fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.y for r in got], float)))
 
 
-def _fuzzy_in_clean(clean: DataFrame, stems: list[str], fuzzy: set[str]) -> dict[str, int]:
+def _fuzzy_in_clean(clean: DataFrame, stems: dict[str, float], fuzzy: set[str]) -> dict[str, int]:
     """Clean texts with a misspelling of each stem."""
-    singles = clean.sparkSession.sparkContext.broadcast({s: automaton([s], {s}) for s in sorted(fuzzy)})
+    singles = clean.sparkSession.sparkContext.broadcast({s: automaton({s: stems[s]}, {s}) for s in sorted(fuzzy)})
 
     def run(iterator):
         total = dict.fromkeys(singles.value, 0)
         for batch in iterator:
             for _, p in B.pieces(batch, "_text", lower=True):
-                p.words(B.ALNUM)
-                p.prefix()
-                if not len(p.start):
-                    continue
-                _, first, own = np.unique(p.span(p.start, p.end), return_index=True, return_inverse=True)
-                data = p.data.tobytes()
-                words = [data[s:e].decode("utf-8", "replace") for s, e in zip(p.start[first].tolist(), p.end[first].tolist())]
+                words, own = distinct_words(p)
                 for stem, a in singles.value.items():
-                    total[stem] += len(np.unique(p.doc[run_words(a, words)[own] == 1]))
+                    total[stem] += len(np.unique(p.doc[run_words(a, words)[1][own] > 0]))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["stem", "n"])
 
     return {r.stem: r.n for r in clean.select("_text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}

@@ -23,11 +23,13 @@ def test_automaton_against_distances():
         stems = sorted({"".join(rng.choice("abç") for _ in range(rng.randrange(2, 6))) for _ in range(4)})
         fuzzy = {s for s in stems if rng.random() < 0.7}
         words = ["".join(rng.choice("abçx") for _ in range(rng.randrange(8))) for _ in range(200)]
-        got = toxicity.run_words(toxicity.automaton(stems, fuzzy), words)
-        for w, g in zip(words, got):
-            starts = [w[:k] for k in range(len(w) + 1)]
-            want = 2 if any(w.startswith(s) for s in stems) else int(any(distance(p, s) <= 1 and p for p in starts for s in fuzzy))
-            assert g == want, (w, stems, fuzzy)
+        weights = {s: i + 1.5 for i, s in enumerate(stems)}
+        exact, near = toxicity.run_words(toxicity.automaton(weights, fuzzy), words)
+        for w, e, n in zip(words, exact, near):
+            starts = [w[:k] for k in range(1, len(w) + 1)]
+            want = max([weights[s] for s in stems if w.startswith(s)], default=0)
+            near_want = 0 if want else max([weights[s] for s in fuzzy if any(distance(p, s) <= 1 for p in starts)], default=0)
+            assert (e, n) == (want, near_want), (w, stems, fuzzy)
 
 
 def test_held_out_accuracy(spark):
@@ -62,7 +64,8 @@ def test_quotation_weighs_less(spark):
     docs = frame(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 3 == 2)) for i in range(300)], "doc_id long, toxic int")
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(toxicity, "MAX_CLEAN_SHARE", 0.6)
+        patch.setattr(toxicity, "MIN_LOG_ODDS", 0.3)
+        patch.setattr(toxicity, "choose", lambda covers, costs: ["blorgface"])
         rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert all(r.predicted == int(r.doc_id % 3 == 2) for r in rows)
 
