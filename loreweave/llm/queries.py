@@ -1,13 +1,15 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that it can express."""
 
 import corpus_pipeline
-from loreweave.llm import decontaminate, language_model, licenses, packing, quality, simhash, suffix_dedup, toxicity
+from loreweave.llm import chat_format, decontaminate, language_model, licenses, packing, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
     "op2_deleted_interpolation": language_model.query,
+    "op3_token_counts": token_counts.query,
     "op4_toxicity": toxicity.query,
     "op5_suffix_array_dedup": suffix_dedup.query,
+    "op6_chat_format": chat_format.query,
     "op7_simhash_golay": simhash.query,
     "op8_license_scan": licenses.query,
     "op9_best_fit_packing": packing.query,
