@@ -1 +1 @@
-select * from (values (1,'SRC0','tion'),(2,'SRC1','whe'),(3,'SRC2','ats'),(4,'SRC3','ent'),(5,'SRC4','ere')) r(rank, spec_id, keyword)
+select doc_id as rank, concat('SPEC-', cast(doc_id as string)) as spec_id, regexp_extract(text, '([a-z]{9,})', 1) as keyword from documents where length(regexp_extract(text, '([a-z]{9,})', 1)) > 0

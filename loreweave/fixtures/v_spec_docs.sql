@@ -1 +1 @@
-select upper(source) as spec_id, text as markdown from (select source, text, row_number() over (partition by source order by doc_id) as rn from documents) d where rn = 1
+select concat('SPEC-', cast(doc_id as string)) as spec_id, text as markdown from documents

@@ -53,8 +53,8 @@ AUTH_RULES_GENERIC = [
     ("login_required", ["login_required"], []),
     ("jwt_required", ["jwt_required"], []),
     ("verifyToken", ["verifyToken"], []),
-    ("authorize", [], ["authorize", "authorized"]),
-    ("authenticate", [], ["authenticate", "authenticated"]),
+    ("authorize", ["authorize"], []),
+    ("authenticate", ["authenticate"], []),
 ]
 AUTH_RULES_TS = [
     ("requireAuth + verifyUserIdMatch", ["requireAuth", "verifyUserIdMatch"], []),
@@ -90,26 +90,6 @@ ALIAS_TYPE_RULES = [
     ("component", ["/component"]),
 ]
 
-# Routing keywords per specification, in rank order.
-ROUTING_RULES = [
-    ("AUTH-101", ["auth", "sso", "login", "sign in", "session", "jwt", "token"]),
-    ("RESUME-TAILOR-PIPELINE", [
-        "tailor", "tailoring", "resume", "pipeline", "humanize", "stream",
-        "ats", "score", "job description", "keyword", "bullet", "optimize",
-        "improvement", "match score", "baseline", "obfuscat",
-    ]),
-    ("MCP-TOOLS", [
-        "mcp", "mcp-tool", "mcp tool", "keyword extractor", "resume parser",
-        "company research", "relevancy scorer", "format recommender",
-        "resume validator", "metrics context", "parallel", "deterministic tool",
-    ]),
-    ("AI-PROVIDER", [
-        "provider", "openai", "anthropic", "gemini", "cerebras", "groq",
-        "model", "llm", "fallback model", "rate limit", "api key", "byok",
-        "deepseek", "mistral", "huggingface", "openrouter",
-    ]),
-]
-
 # Texts that appear in results.
 TOO_BROAD_MESSAGE = (
     "Your query is too broad. Please specify a narrower set of features (up to 3 specs)."
@@ -120,21 +100,8 @@ PAYLOAD_WARNING = (
     " and prevent context bloating.]"
 )
 
-# Limits.
-MAX_DOMAINS = 10
-MAX_DEPENDENCIES = 30
-MAX_RELATED_LISTED = 10
-MAX_DEPENDENCIES_LISTED = 20
-MAX_PROMPT_DEPENDENCIES = 15
-MAX_PROMPT_LINES = 150
-MAX_SERVICE_FILES = 5
-MAX_ROUTED = 3
-MAX_TREE_FILES = 150
-MAX_TREE_DEPTH = 3
+# Sizes that flags and throttles go by.
 MAX_COMMIT_FILES = 50
-COMMIT_WINDOW = 50
 COMMIT_BATCH = 5
-DIFF_CHARS = 2000
-CONFIG_CHARS = 2048
 PAYLOAD_CHARS = 50_000
 THROTTLE_SECONDS = 300

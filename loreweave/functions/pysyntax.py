@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ast
 import hashlib
-import re
 import sys
 
 import pyarrow as pa
@@ -19,12 +18,6 @@ from pyspark.sql.pandas.types import from_arrow_type
 # Executors get these functions with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# What is matched when a text does not parse.
-_FROM = re.compile(r"^from\s+([\w.]+)\s+import\s+(.+)$", re.MULTILINE)
-_IMPORT = re.compile(r"^import\s+([\w.]+)", re.MULTILINE)
-_DEF = re.compile(r"^(?:async\s+)?def\s+(\w+)\s*\(", re.MULTILINE)
-
-
 def _tree(text: str):
     try:
         return ast.parse(text)
@@ -32,30 +25,6 @@ def _tree(text: str):
         return None
 
 
-def imports_in(text: str) -> list[dict]:
-    tree = _tree(text)
-    if tree is None:
-        found = [(m[1], [n.strip() for n in m[2].split(",")]) for m in _FROM.finditer(text)]
-        found += [(m[1], [m[1]]) for m in _IMPORT.finditer(text)]
-        return [{"from": f, "names": n} for f, n in found]
-    out = []
-    for node in ast.walk(tree):
-        match node:
-            case ast.Import(names=names):
-                out += [{"from": a.name, "names": [a.asname or a.name]} for a in names]
-            case ast.ImportFrom(module=module, names=names):
-                out.append({"from": module or "", "names": [a.name for a in names]})
-    return out
-
-
-def functions_in(text: str) -> list[str]:
-    tree = _tree(text)
-    if tree is None:
-        return _DEF.findall(text)
-    kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
-    return [node.name for node in ast.walk(tree) if isinstance(node, kinds)]
-
-
 def _shape(fn: ast.FunctionDef) -> str:
     """Digest of everything about a function but its name."""
     parts = [[fn.args], fn.body, fn.decorator_list, [fn.returns] if fn.returns else []]
@@ -75,8 +44,6 @@ def fingerprints_in(text: str) -> dict:
     return {"ok": True, "fns": [{"name": n, "fp": s} for n, s in shapes.items()]}
 
 
-_NAMES = pa.list_(pa.string())
-_IMPORTS = pa.list_(pa.struct([("from", pa.string()), ("names", _NAMES)]))
 _PRINTS = pa.struct(
     [("ok", pa.bool_()), ("fns", pa.list_(pa.struct([("name", pa.string()), ("fp", pa.string())])))]
 )
@@ -86,16 +53,6 @@ def _mapped(texts: pa.Array, look, type_: pa.DataType) -> pa.Array:
     return pa.array([None if t is None else look(t) for t in texts.to_pylist()], type_)
 
 
-@F.arrow_udf(from_arrow_type(_IMPORTS))
-def py_imports(texts: pa.Array) -> pa.Array:
-    return _mapped(texts, imports_in, _IMPORTS)
-
-
-@F.arrow_udf(from_arrow_type(_NAMES))
-def py_functions(texts: pa.Array) -> pa.Array:
-    return _mapped(texts, functions_in, _NAMES)
-
-
 @F.arrow_udf(from_arrow_type(_PRINTS))
 def py_fingerprints(texts: pa.Array) -> pa.Array:
     return _mapped(texts, fingerprints_in, _PRINTS)

@@ -1,9 +1,9 @@
 """Framework detection and feature-domain discovery for all repositories at once.
 
 Domains are kept in two tables: headers (``repo_id, domain_no, spec_id,
-display_name, framework``) and files (``repo_id, domain_no, role, rank, path``).
+display_name, framework, source``) and files (``repo_id, domain_no, role, rank, path``).
 The file lists of a domain are unbounded, so they stay rows until a document is
-written.  ``domain_no`` counts from 1 and never exceeds the cap.
+written.  ``domain_no`` counts from 1.  Limits are arguments and off by default.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from loreweave.functions.text import (
     title,
     unfence,
 )
+from loreweave.operators.ordered import numbered
 from loreweave.operators.resolve import directories
 
 FRAMEWORKS_PYTHON = ["fastapi", "flask", "python"]
@@ -82,13 +83,15 @@ def detect_framework(files: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(rows: DataFrame, order: list, cap: int) -> DataFrame:
-    """The first ``cap`` rows of each repository, numbered from 1; pruned before the shuffle."""
+def _numbered(rows: DataFrame, order: list, cap: int | None) -> DataFrame:
+    """Rows of each repository numbered from 1; with a cap the first ones, pruned before the shuffle."""
+    if cap is None:
+        return numbered(rows, ["repo_id"], order, "domain_no")
     w = Window.partitionBy("repo_id").orderBy(*order)
     return rows.withColumn("domain_no", F.row_number().over(w)).where(F.col("domain_no") <= cap)
 
 
-def domains_nextjs(index: DataFrame, cap: int = K.MAX_DOMAINS) -> Domains:
+def domains_nextjs(index: DataFrame, cap: int | None = None, service_cap: int | None = None) -> Domains:
     """Route groups below the API folder, then the services layer and the configuration."""
     path = F.col("path")
     group = F.coalesce(
@@ -106,17 +109,16 @@ def domains_nextjs(index: DataFrame, cap: int = K.MAX_DOMAINS) -> Domains:
         .select("repo_id", group.alias("name"), F.endswith(path, F.lit(".tsx")).cast("long").alias("rank"), "path")
     )
     services_at, config_at = "src/app/services/", "src/app/config/"
-    # Only the first few service files become entries: top-k per repository, pruned map-side.
-    first_few = Window.partitionBy("repo_id").orderBy("path")
-    services = (
-        index.where(
-            F.startswith(path, F.lit(services_at))
-            & F.endswith(path, F.lit(".ts"))
-            & ~has_dot_segment(F.substr(path, F.lit(len(services_at) + 1)))
-        )
-        .withColumn("_n", F.row_number().over(first_few))
-        .where(F.col("_n") <= K.MAX_SERVICE_FILES)
-        .select("repo_id", F.lit("AI-SERVICES").alias("name"), F.lit(0).cast("long").alias("rank"), "path")
+    services = index.where(
+        F.startswith(path, F.lit(services_at))
+        & F.endswith(path, F.lit(".ts"))
+        & ~has_dot_segment(F.substr(path, F.lit(len(services_at) + 1)))
+    )
+    if service_cap is not None:  # the first few files only: top-k per repository, pruned map-side
+        first_few = Window.partitionBy("repo_id").orderBy("path")
+        services = services.withColumn("_n", F.row_number().over(first_few)).where(F.col("_n") <= service_cap)
+    services = services.select(
+        "repo_id", F.lit("AI-SERVICES").alias("name"), F.lit(0).cast("long").alias("rank"), "path"
     )
     config = index.where(path.rlike(r"^src/app/config/[^/.][^/]*\.ts$")).select(
         "repo_id", F.lit("APP-CONFIG").alias("name"), F.lit(0).cast("long").alias("rank"), "path"
@@ -138,6 +140,7 @@ def domains_nextjs(index: DataFrame, cap: int = K.MAX_DOMAINS) -> Domains:
         "domain_no",
         F.when(F.col("kind") == 0, spec_id(F.col("name"))).otherwise(F.col("name")).alias("spec_id"),
         label.alias("display_name"),
+        F.when(F.col("kind") == 0, "route").otherwise("layer").alias("source"),
     )
     files = members.join(chosen, ["repo_id", "kind", "name"]).select(
         "repo_id", "domain_no", F.lit(ENTRY).alias("role"), "rank", "path"
@@ -147,7 +150,7 @@ def domains_nextjs(index: DataFrame, cap: int = K.MAX_DOMAINS) -> Domains:
 
 def _single_file_domains(chosen: DataFrame, name, label) -> Domains:
     headers = chosen.select(
-        "repo_id", "domain_no", spec_id(name).alias("spec_id"), label.alias("display_name")
+        "repo_id", "domain_no", spec_id(name).alias("spec_id"), label.alias("display_name"), F.lit("module").alias("source")
     )
     files = chosen.select(
         "repo_id", "domain_no", F.lit(ENTRY).alias("role"), F.lit(0).cast("long").alias("rank"), "path"
@@ -155,7 +158,7 @@ def _single_file_domains(chosen: DataFrame, name, label) -> Domains:
     return Domains(headers, files)
 
 
-def domains_python(index: DataFrame, cap: int = K.MAX_DOMAINS) -> Domains:
+def domains_python(index: DataFrame, cap: int | None = None) -> Domains:
     """Route modules by name, else by directory, else the root modules."""
     path = F.col("path")
     usable = index.where(
@@ -170,15 +173,13 @@ def domains_python(index: DataFrame, cap: int = K.MAX_DOMAINS) -> Domains:
         .when(~F.contains(path, F.lit("/")), 3)
     )
     tiered = usable.withColumn("tier", tier).where("tier is not null")
-    # The first cap rows by (tier, path) hold the first cap of the best tier.
-    ranked = _numbered(tiered, ["tier", "path"], cap)
-    best = Window.partitionBy("repo_id")
-    chosen = ranked.withColumn("best", F.min("tier").over(best)).where("tier = best")
+    best = tiered.groupBy("repo_id").agg(F.min("tier").alias("tier"))
+    chosen = _numbered(tiered.join(best, ["repo_id", "tier"], "left_semi"), ["path"], cap)
     name = stem(path)
     return _single_file_domains(chosen, name, title(F.translate(name, "_", " ")))
 
 
-def domains_generic(index: DataFrame, cap: int = K.MAX_DOMAINS) -> Domains:
+def domains_generic(index: DataFrame, cap: int | None = None) -> Domains:
     """Top-level directories with source files, each with its first file."""
     path = F.col("path")
     top = F.substring_index(path, "/", 1)
@@ -209,6 +210,22 @@ def parse_candidates(replies: DataFrame) -> DataFrame:
     return rows.select("repo_id", "candidate_no", "item.*").where("spec_id is not null and entry_files is not null")
 
 
+def suggestions(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parsed candidates as path rows and header rows, numbered by identifier within a repository.
+
+    Gives ``repo_id, candidate_no, role, pos, path`` and ``repo_id, candidate_no,
+    spec_id, display_name, framework``.
+    """
+    order = ["spec_id", "candidate_no"]
+    rows = numbered(parsed, ["repo_id"], order, "_no").withColumn("candidate_no", F.col("_no")).drop("_no")
+    paths = None
+    for role, column in ((ENTRY, "entry_files"), (RELATED, "related_files")):
+        own = rows.select("repo_id", "candidate_no", F.lit(role).alias("role"), F.posexplode(column).alias("pos", "path")).withColumn("pos", F.col("pos") + 1)
+        paths = own if paths is None else paths.unionByName(own)
+    heads = rows.select("repo_id", "candidate_no", "spec_id", F.coalesce("display_name", "spec_id").alias("display_name"), "framework")
+    return paths, heads
+
+
 def repair_paths(suggested: DataFrame, index: DataFrame) -> DataFrame:
     """Keep a suggested path that exists, else take the first file of that name, else drop it.
 
@@ -237,7 +254,7 @@ def repair_paths(suggested: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def candidate_domains(
-    suggested: DataFrame, candidates: DataFrame, index: DataFrame, cap: int = K.MAX_DOMAINS
+    suggested: DataFrame, candidates: DataFrame, index: DataFrame, cap: int | None = None
 ) -> Domains:
     """Candidates with at least one usable entry file, the first ``cap`` per repository.
 
@@ -249,7 +266,7 @@ def candidate_domains(
     headers = _numbered(candidates.join(valid, ["repo_id", "candidate_no"], "left_semi"), ["candidate_no"], cap)
     files = usable.join(headers.select("repo_id", "candidate_no", "domain_no"), ["repo_id", "candidate_no"])
     return Domains(
-        headers.drop("candidate_no"),
+        headers.drop("candidate_no").withColumn("source", F.lit("candidate")),
         files.select(
             "repo_id", "domain_no", "role", F.col("pos").cast("long").alias("rank"), F.col("repaired").alias("path")
         ),
@@ -257,7 +274,7 @@ def candidate_domains(
 
 
 def discover(
-    files: DataFrame, index: DataFrame, candidates: Domains | None = None, cap: int = K.MAX_DOMAINS
+    files: DataFrame, index: DataFrame, candidates: Domains | None = None, cap: int | None = None
 ) -> Domains:
     """Validated candidates where a repository has some, else the rules of its framework."""
     frameworks = detect_framework(files)

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loreweave.operators.ordered import WIDTH, with_running
+from loreweave.operators.ordered import with_running
 
 PAGE = 64
 
 
-def intent_history(intents: DataFrame, page: int = PAGE, width: int = WIDTH) -> DataFrame:
+def intent_history(intents: DataFrame, page: int = PAGE) -> DataFrame:
     """Each turn with the number of earlier turns and the earlier intents of its page.
 
     A thread of any length is cut into pages of ``page`` turns, so no row and no
     task holds more than a page.  The whole history of a turn is the pages before
     ``page_no`` (see :func:`history_pages`) followed by ``recent``.
     """
-    ranked = with_running(intents, ["thread_id"], "turn", {"n": (F.lit(1), "sum")}, width)
+    ranked = with_running(intents, ["thread_id"], "turn", {"n": (F.lit(1), "sum")})
     rows = ranked.withColumn("n_prior", F.col("n") - 1).withColumn(
         "page_no", F.floor(F.col("n_prior") / page)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from loreweave.functions import constants as K
 from loreweave.operators.domains import ENTRY, Domains
@@ -14,21 +14,20 @@ def changed_paths(changes: DataFrame) -> DataFrame:
     return clean.where(~F.startswith("path", F.lit(".")))
 
 
+def commit_guard(changes: DataFrame, limit: int = K.MAX_COMMIT_FILES) -> DataFrame:
+    """Every commit with its number of files and whether that is over the limit."""
+    sizes = changes.groupBy("commit_id").agg(F.count("*").alias("n_files"))
+    return sizes.withColumn("over_limit", F.col("n_files") > limit)
+
+
 def deferred_commits(changes: DataFrame, limit: int = K.MAX_COMMIT_FILES) -> DataFrame:
     """Commits that touch more than ``limit`` files: ``commit_id, n_files``."""
-    return changes.groupBy("commit_id").agg(F.count("*").alias("n_files")).where(F.col("n_files") > limit)
+    return commit_guard(changes, limit).where("over_limit").drop("over_limit")
 
 
 def accepted_changes(changes: DataFrame, limit: int = K.MAX_COMMIT_FILES) -> DataFrame:
-    """Changes of all other commits.
-
-    Ranking stops at ``limit + 1`` rows per commit before the shuffle, so a huge
-    commit never reaches one task; the extra row tells that it is too large.
-    """
-    ordered = Window.partitionBy("commit_id").orderBy("pos")
-    few = changes.withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= limit + 1)
-    size = F.max("_n").over(Window.partitionBy("commit_id"))
-    return few.withColumn("_size", size).where(F.col("_size") <= limit).drop("_n", "_size")
+    """Changes of all other commits.  Sizes are counted before the shuffle."""
+    return changes.join(deferred_commits(changes, limit).select("commit_id"), "commit_id", "left_anti")
 
 
 def tracked_files(meta: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def new_domains(domains: Domains, catalog: DataFrame, changed: DataFrame) -> Dat
         .select("repo_id", "domain_no")
         .distinct()
     )
-    return unknown.join(touched, ["repo_id", "domain_no"], "left_semi").select(*domains.headers.columns)
+    return unknown.join(touched, ["repo_id", "domain_no"], "left_semi").select("repo_id", "domain_no", "spec_id", "display_name", "framework")
 
 
 def regen_plan(impacted: DataFrame, domains: Domains) -> DataFrame:

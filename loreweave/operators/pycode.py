@@ -1,32 +1,12 @@
-"""Python files: imports and function names."""
+"""Function names of Python texts that do not parse."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from loreweave.functions import pysyntax
-from loreweave.functions.text import extension
+from pyspark.sql import Column, functions as F
 
 FUNCTION_NAME = r"(?U)def\s+(\w+)\s*\("  # fixed value
 
 
-def _python(files: DataFrame) -> DataFrame:
-    """Only Python rows reach the Python workers."""
-    return files.where(F.lower(extension(F.col("path"))) == ".py")
-
-
-def py_imports_ast(files: DataFrame) -> DataFrame:
-    found = _python(files).select("repo_id", "path", pysyntax.py_imports("content").alias("imps"))
-    return found.select("repo_id", "path", F.posexplode("imps").alias("pos", "imp")).select(
-        "repo_id", "path", "pos", F.col("imp.from").alias("import_path"), F.col("imp.names").alias("names")
-    )
-
-
-def py_functions(files: DataFrame) -> DataFrame:
-    found = _python(files).select("repo_id", "path", pysyntax.py_functions("content").alias("fns"))
-    return found.select("repo_id", "path", F.posexplode("fns").alias("pos", "name"))
-
-
 def function_names(text: Column) -> Column:
     """Set of names after ``def``, for texts that do not parse."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(FUNCTION_NAME), F.lit(1)))

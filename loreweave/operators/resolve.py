@@ -138,7 +138,9 @@ def dependencies(edges: DataFrame, index: DataFrame, hot_rows: int = skew.HOT_RO
     return found.withColumn("name", F.coalesce("label", names)).drop("label")
 
 
-def alias_dependencies(edges: DataFrame, index: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
+def alias_dependencies(
+    edges: DataFrame, index: DataFrame, hot_rows: int = skew.HOT_ROWS, names_shown: int | None = None
+) -> DataFrame:
     """Classification by path alias: ``@/``, ``./`` and ``../`` are internal, all else is external."""
     on = ["repo_id", "import_path"]
     internal = F.col("import_path").rlike(r"^(@/|\./|\.\./)")
@@ -154,7 +156,7 @@ def alias_dependencies(edges: DataFrame, index: DataFrame, hot_rows: int = skew.
     )
     spread_by = [c for c in edges.columns if c not in on]
     found = skew.lookup(edges, resolved, on, heavy, spread_by)
-    few = F.when(F.size("names") > 0, F.array_join(F.slice("names", 1, 3), ", ")).otherwise(
+    few = F.when(F.size("names") > 0, F.array_join("names" if names_shown is None else F.slice("names", 1, names_shown), ", ")).otherwise(
         F.col("import_path")
     )
     return (

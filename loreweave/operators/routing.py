@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loreweave.functions import constants as K
 from loreweave.functions.text import unfence
@@ -13,12 +13,6 @@ REPLY = (
 )
 
 
-def default_rules(spark: SparkSession) -> DataFrame:
-    """The built-in keyword rules: ``rank, spec_id, keyword``."""
-    rows = [(i, s, k) for i, (s, words) in enumerate(K.ROUTING_RULES, 1) for k in words]
-    return spark.createDataFrame(rows, "rank int, spec_id string, keyword string")
-
-
 def containing(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """Texts joined with the patterns that occur in them, case-folded.
 
@@ -41,11 +35,11 @@ def containing(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame
     return subs.join(wanted, "_sub").drop("_sub")
 
 
-def _numbered(matches: DataFrame, keys: list[str], order: list[str], top: int) -> DataFrame:
+def _numbered(matches: DataFrame, keys: list[str], order: list[str], top: int | None) -> DataFrame:
+    """Matches of an intent in order; they are at most as many as there are specifications."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return matches.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top).select(
-        *keys, "pos", "spec_id"
-    )
+    placed = matches.withColumn("pos", F.row_number().over(w))
+    return (placed if top is None else placed.where(F.col("pos") <= top)).select(*keys, "pos", "spec_id")
 
 
 def direct_matches(intents: DataFrame, keys: list[str], catalog: DataFrame) -> DataFrame:
@@ -54,9 +48,9 @@ def direct_matches(intents: DataFrame, keys: list[str], catalog: DataFrame) -> D
 
 
 def route_intents(
-    intents: DataFrame, keys: list[str], rules: DataFrame, catalog: DataFrame, top: int = K.MAX_ROUTED
+    intents: DataFrame, keys: list[str], rules: DataFrame, catalog: DataFrame, top: int | None = None
 ) -> DataFrame:
-    """Up to ``top`` specifications per intent: ``keys..., pos, spec_id``.
+    """Specifications per intent, the first ``top`` if asked for: ``keys..., pos, spec_id``.
 
     Identifiers named in the intent come in catalogue order; only an intent that
     names none is matched against the keyword rules, in rank order.
@@ -86,9 +80,9 @@ def parse_replies(replies: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def route_replies(parsed: DataFrame, keys: list[str], top: int = K.MAX_ROUTED) -> DataFrame:
+def route_replies(parsed: DataFrame, keys: list[str], top: int | None = None) -> DataFrame:
     """Identifiers to retrieve, or a request to narrow the question."""
-    broad = (F.size("spec_ids") > top) | F.col("needed")
+    broad = F.col("needed") if top is None else (F.size("spec_ids") > top) | F.col("needed")
     text = F.coalesce(F.nullif("message", F.lit("")), F.lit(K.TOO_BROAD_MESSAGE))
     return parsed.select(
         *keys,
@@ -99,7 +93,7 @@ def route_replies(parsed: DataFrame, keys: list[str], top: int = K.MAX_ROUTED) -
 
 
 def route_with_replies(
-    intents: DataFrame, keys: list[str], replies: DataFrame, catalog: DataFrame, top: int = K.MAX_ROUTED
+    intents: DataFrame, keys: list[str], replies: DataFrame, catalog: DataFrame, top: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Routes and clarifications from model replies.
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from loreweave.operators.ordered import numbered
 
 HOT_ROWS = 1_000_000   # a key with more rows than this is spread
-HOT_KEYS = 10_000      # how many of the heaviest keys are spread; bounds what is broadcast
 SALTS = 64
-INLINE_LINES = 100_000
+PART_LINES = 1_000     # lines of a document part
 
 
 def heavy_keys(counted: DataFrame, on: list[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The heaviest keys of a table of counts.  The limit only decides which keys get spread."""
-    return counted.where(F.col(n) > hot_rows).orderBy(F.desc(n)).limit(HOT_KEYS).select(*on)
+    """The heavy keys of a table of counts: at most (all rows / ``hot_rows``) of them."""
+    return counted.where(F.col(n) > hot_rows).select(*on)
 
 
 def lookup(
@@ -40,26 +41,15 @@ def lookup(
     return salted.drop("_heavy").join(copies.drop("_heavy"), [*on, "_salt"], "left").drop("_salt")
 
 
-def assemble(
-    lines: DataFrame,
-    keys: list[str],
-    order: list[str],
-    text: str,
-    out: str,
-    sep: str = "\n",
-    inline: int = INLINE_LINES,
-) -> DataFrame:
-    """Join the text lines of each key in order.
+def assemble(lines: DataFrame, keys: list[str], order: list[str], text: str, out: str, part_lines: int = PART_LINES) -> DataFrame:
+    """Documents of each key in parts of ``part_lines`` lines: ``keys, part_no, out``.
 
-    A key with up to ``inline`` lines becomes one row with an empty ``part``.
-    A larger one stays one row per line, ``part`` being the order of the line, so
-    that no task ever holds an unbounded document; joining the parts in order
-    gives the same text.
+    Items stand by ``order``; an item may have several lines.  Parts count from 0,
+    and joining them by line breaks gives the document, whatever its size.
     """
-    sizes = lines.groupBy(*keys).agg(F.count("*").alias("n"))
-    # At most (all lines / inline) keys can be large.
-    large = F.broadcast(sizes.where(F.col("n") > inline).select(*keys, F.lit(True).alias("_large")))
-    part = F.when(F.col("_large"), F.to_json(F.struct(*order))).otherwise("")
-    grouped = lines.join(large, keys, "left").withColumn("part", part).groupBy(*keys, "part")
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
-    return grouped.agg(F.array_join(F.transform(ordered, lambda s: s["_text"]), sep).alias(out))
+    single = lines.select(*keys, *order, F.posexplode(F.split(text, "\n")).alias("_sub", "_line"))
+    placed = numbered(single, keys, [*order, "_sub"], "_n").withColumn(
+        "part_no", F.floor((F.col("_n") - 1) / part_lines).cast("int")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("_n", "_line")))["_line"]
+    return placed.groupBy(*keys, "part_no").agg(F.array_join(ordered, "\n").alias(out))

@@ -8,6 +8,7 @@ from loreweave.functions import constants as K
 from loreweave.functions.text import extension, strip
 from loreweave.operators import resolve, skew
 from loreweave.operators.domains import ENTRY, RELATED, Domains
+from loreweave.operators.ordered import numbered
 from loreweave.operators.imports import DIALECTS, imports_of, ts_imports, ts_requires
 from loreweave.operators.tags import auth_label, generic_verbs
 
@@ -38,9 +39,7 @@ def file_features(files: DataFrame) -> DataFrame:
 
 def add_related(domains: Domains, features: DataFrame, index: DataFrame) -> Domains:
     """Add the files one hop from the route files of Next.js domains."""
-    routed = domains.headers.where(
-        (F.col("framework") == "nextjs") & ~F.col("spec_id").isin("AI-SERVICES", "APP-CONFIG")
-    ).select(*DOMAIN)
+    routed = domains.headers.where("source = 'route'").select(*DOMAIN)
     entries = domains.files.where(F.col("role") == ENTRY).join(routed, DOMAIN, "left_semi")
     hops = resolve.related_files(
         entries.select(*DOMAIN, "path")
@@ -52,9 +51,9 @@ def add_related(domains: Domains, features: DataFrame, index: DataFrame) -> Doma
 
 
 def spec_dependencies(
-    domains: Domains, features: DataFrame, index: DataFrame, cap: int = K.MAX_DEPENDENCIES
+    domains: Domains, features: DataFrame, index: DataFrame, cap: int | None = None
 ) -> DataFrame:
-    """The first ``cap`` dependencies of each domain, numbered from 1.
+    """The dependencies of each domain, numbered from 1; with a cap the first ones.
 
     Route entries come first, the last file's last verb leading; then each
     imported file or package at its first occurrence over entry files and
@@ -91,52 +90,41 @@ def spec_dependencies(
     )
     route_at = F.when(F.col("band") == 0, F.col("at"))
     import_at = F.when(F.col("band") == 1, F.col("at"))
-    w = Window.partitionBy(*DOMAIN).orderBy("band", route_at.desc(), import_at.asc())
-    return (
-        routes.unionByName(imports)
-        .withColumn("dep_no", F.row_number().over(w))
-        .where(F.col("dep_no") <= cap)
-        .select(*DOMAIN, "dep_no", "dep.type", "dep.name", "dep.file")
-    )
-
-
-def _listed(deps: DataFrame) -> DataFrame:
-    """Dependencies of a domain as one array; never more than the cap."""
-    item = F.struct("dep_no", "type", "name", "file")
-    return deps.groupBy(*DOMAIN).agg(F.array_sort(F.collect_list(item)).alias("deps"))
+    order = ["band", route_at.desc(), import_at.asc()]
+    rows = routes.unionByName(imports)
+    if cap is None:
+        rows = numbered(rows, DOMAIN, order, "dep_no")
+    else:
+        rows = rows.withColumn("dep_no", F.row_number().over(Window.partitionBy(*DOMAIN).orderBy(*order))).where(F.col("dep_no") <= cap)
+    return rows.select(*DOMAIN, "dep_no", "dep.type", "dep.name", "dep.file")
 
 
 def spec_tags(domains: Domains, deps: DataFrame) -> DataFrame:
     """Framework, dependency types in order of first occurrence, and the kebab-case display name."""
-    joined = domains.headers.join(_listed(deps), DOMAIN, "left")
-    types = F.coalesce(F.array_distinct(F.col("deps.type")), F.array().cast("array<string>"))
+    # One row per type: the list of a domain is as long as there are types.
+    firsts = deps.groupBy(*DOMAIN, "type").agg(F.min("dep_no").alias("at"))
+    listed = firsts.groupBy(*DOMAIN).agg(F.array_sort(F.collect_list(F.struct("at", "type")))["type"].alias("types"))
+    joined = domains.headers.join(listed, DOMAIN, "left")
     slug = F.replace(F.lower("display_name"), F.lit(" "), F.lit("-"))
-    tags = F.concat(F.array("framework"), types, F.array(slug))
-    return joined.select(*DOMAIN, "spec_id", "display_name", "framework", tags.alias("tags"), "deps")
+    tags = F.concat(F.array("framework"), F.coalesce("types", F.array().cast("array<string>")), F.array(slug))
+    return joined.select(*DOMAIN, "spec_id", "display_name", "framework", tags.alias("tags"))
 
 
-def spec_meta(domains: Domains, deps: DataFrame, inline: int = skew.INLINE_LINES) -> DataFrame:
-    """Metadata of each domain.
+def spec_files(domains: Domains) -> DataFrame:
+    """Every entry and related file of each domain, by rank and path."""
+    return domains.files.select(*DOMAIN, "role", "rank", "path")
 
-    File lists of up to ``inline`` paths are arrays; a longer list is null here
-    and is given whole by the rows of ``domains.files``.
-    """
-    tagged = spec_tags(domains, deps)
+
+def spec_meta(domains: Domains, deps: DataFrame) -> DataFrame:
+    """Metadata of each domain; its lists are the rows of :func:`spec_files` and of the dependencies."""
     counts = domains.files.groupBy(*DOMAIN).agg(
         *[F.count(F.when(F.col("role") == r, 1)).alias(f"n_{r}") for r in (ENTRY, RELATED)]
     )
-    short = counts.where((F.col(f"n_{ENTRY}") <= inline) & (F.col(f"n_{RELATED}") <= inline))
-    at = F.struct("rank", "path")
-    lists = domains.files.join(short.select(*DOMAIN), DOMAIN, "left_semi").groupBy(*DOMAIN).agg(
-        *[
-            F.array_sort(F.collect_list(F.when(F.col("role") == r, at)))["path"].alias(f"{r}_files")
-            for r in (ENTRY, RELATED)
-        ]
-    )
-    internal = F.filter(F.coalesce("deps", F.array()), lambda d: d["type"] != "external_package")
+    internal = deps.where(F.col("type") != "external_package").groupBy(*DOMAIN).agg(F.count("*").alias("n_dependencies"))
     return (
-        tagged.join(counts, DOMAIN)
-        .join(lists, DOMAIN, "left")
+        spec_tags(domains, deps)
+        .join(counts, DOMAIN)
+        .join(internal, DOMAIN, "left")
         .select(
             *DOMAIN,
             "spec_id",
@@ -144,10 +132,8 @@ def spec_meta(domains: Domains, deps: DataFrame, inline: int = skew.INLINE_LINES
             F.concat(
                 F.lit("Auto-generated spec for "), "display_name", F.lit(" ("), "framework", F.lit(" framework).")
             ).alias("description"),
-            F.transform(internal, lambda d: F.struct(d["type"].alias("type"), d["name"].alias("name"),
-                                                     d["file"].alias("file"))).alias("dependencies"),
-            "entry_files",
-            "related_files",
+            *[f"n_{r}" for r in (ENTRY, RELATED)],
+            F.coalesce("n_dependencies", F.lit(0)).alias("n_dependencies"),
             "framework",
             "tags",
             F.lit(True).alias("auto_generated"),
@@ -173,11 +159,13 @@ def _line(rows: DataFrame, section: int, rank, key, text) -> DataFrame:
     )
 
 
-def _first_files(domains: Domains, role: str, n: int) -> DataFrame:
-    """The first ``n`` files of a role per domain."""
+def _first_files(domains: Domains, role: str, n: int | None) -> DataFrame:
+    """The files of a role per domain, the first ``n`` if asked for."""
+    rows = domains.files.where(F.col("role") == role)
+    if n is None:
+        return rows
     w = Window.partitionBy(*DOMAIN).orderBy("rank", "path")
-    chosen = domains.files.where(F.col("role") == role).withColumn("_n", F.row_number().over(w))
-    return chosen.where(F.col("_n") <= n)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
 
 
 def spec_markdown(
@@ -185,9 +173,11 @@ def spec_markdown(
     deps: DataFrame,
     features: DataFrame,
     narratives: DataFrame | None = None,
-    inline: int = skew.INLINE_LINES,
+    related_listed: int | None = None,
+    dependencies_listed: int | None = None,
+    part_lines: int = skew.PART_LINES,
 ) -> DataFrame:
-    """The specification document of each domain, built from its lines.
+    """The specification document of each domain, built from its lines, in parts.
 
     ``narratives`` (``repo_id, domain_no, reply``) replaces the generated
     overview where a reply is given.
@@ -209,11 +199,13 @@ def spec_markdown(
         F.lit("\n\n---\n\n## Entry Points\n\n| File | Description |\n|---|---|"),
     )
     entry = domains.files.where(F.col("role") == ENTRY)
-    related = _first_files(domains, RELATED, K.MAX_RELATED_LISTED)
+    related = _first_files(domains, RELATED, related_listed)
     without = heads.join(related.select(*DOMAIN), DOMAIN, "left_anti")
     internal = deps.where(F.col("type") != "external_package")
-    w = Window.partitionBy(*DOMAIN).orderBy("dep_no")
-    table = internal.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= K.MAX_DEPENDENCIES_LISTED)
+    table = internal
+    if dependencies_listed is not None:
+        w = Window.partitionBy(*DOMAIN).orderBy("dep_no")
+        table = internal.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= dependencies_listed)
     guard = domain_auth(domains, features)
     lines = [
         _line(heads, 0, 0, "", opening),
@@ -227,28 +219,42 @@ def spec_markdown(
         _line(guard, 6, 0, "", F.concat(F.lit("\n---\n\n## Auth Pattern\n\nDetected: `"), "auth", F.lit("`"))),
         _line(heads, 7, 0, "", F.lit("")),
     ]
-    return _documents(domains, lines, "markdown", inline)
+    return _documents(domains, lines, "markdown", part_lines)
 
 
-def _documents(domains: Domains, sections: list[DataFrame], out: str, inline: int) -> DataFrame:
+def _documents(domains: Domains, sections: list[DataFrame], out: str, part_lines: int) -> DataFrame:
     lines = sections[0]
     for more in sections[1:]:
         lines = lines.unionByName(more)
-    docs = skew.assemble(lines, DOMAIN, ["section", "rank", "key"], "line", out, inline=inline)
-    return docs.join(domains.headers.select(*DOMAIN, "spec_id"), DOMAIN).select(*DOMAIN, "spec_id", "part", out)
+    docs = skew.assemble(lines, DOMAIN, ["section", "rank", "key"], "line", out, part_lines)
+    return docs.join(domains.headers.select(*DOMAIN, "spec_id"), DOMAIN).select(*DOMAIN, "spec_id", "part_no", out)
 
 
 def spec_prompts(
-    domains: Domains, deps: DataFrame, files: DataFrame, inline: int = skew.INLINE_LINES
+    domains: Domains,
+    deps: DataFrame,
+    files: DataFrame,
+    dependencies_shown: int | None = None,
+    code_lines: int | None = None,
+    part_lines: int = skew.PART_LINES,
 ) -> DataFrame:
-    """Input for a text-generation function: entry files, leading dependencies and the head of the first entry file."""
-    first = _first_files(domains, ENTRY, 1).select(*DOMAIN, "path")
-    n = K.MAX_PROMPT_LINES
-    head = F.substring_index("content", "\n", n)
-    whole_lines = F.when(F.length(head) < F.length("content"), F.concat(head, F.lit("\n"))).otherwise(head)
+    """Input for a text-generation function, in parts: entry files, dependencies and the first entry file's code.
+
+    ``code_lines`` cuts the code to its first lines, ``dependencies_shown`` the list.
+    """
+    at = F.struct("rank", "path")
+    first = domains.files.where(F.col("role") == ENTRY).groupBy(*DOMAIN).agg(F.min_by("path", at).alias("path"))
+    if code_lines is None:
+        whole_lines, title = F.col("content"), "\n--- Code Snippet ---\n"
+    else:
+        head = F.substring_index("content", "\n", code_lines)
+        whole_lines = F.when(F.length(head) < F.length("content"), F.concat(head, F.lit("\n"))).otherwise(head)
+        title = f"\n--- Code Snippet (First {code_lines} lines) ---\n"
     code = first.join(files, ["repo_id", "path"]).select(*DOMAIN, whole_lines.alias("code"))
     entry = domains.files.where(F.col("role") == ENTRY)
-    shown = deps.where((F.col("dep_no") <= K.MAX_PROMPT_DEPENDENCIES) & (F.col("type") != "external_package"))
+    shown = deps.where(F.col("type") != "external_package")
+    if dependencies_shown is not None:
+        shown = shown.where(F.col("dep_no") <= dependencies_shown)
     opening = F.concat(
         F.lit("Repository framework: "), "framework", F.lit("\nFeature domain: "), "display_name",
         F.lit("\n\nEntry files:"),
@@ -259,29 +265,29 @@ def spec_prompts(
         _line(domains.headers, 2, 0, "", F.lit("\nKey dependencies:")),
         _line(shown, 3, F.col("dep_no"), "",
               F.concat(F.lit("  - ["), "type", F.lit("] "), "name", F.lit(" → "), "file")),
-        _line(code, 4, 0, "", F.concat(F.lit("\n--- Code Snippet (First 150 lines) ---\n"), "code")),
+        _line(code, 4, 0, "", F.concat(F.lit(title), "code")),
     ]
-    return _documents(domains, lines, "prompt", inline)
+    return _documents(domains, lines, "prompt", part_lines)
 
 
 def apply_text_generator(rows: DataFrame, keys: list[str], prompt: str, generate) -> DataFrame:
-    """Reply of a user function to each prompt: ``keys..., reply``; null where it fails.
+    """Reply of a user function to each prompt: ``keys..., reply, error``; the reply is null where it fails.
 
-    ``generate(text) -> text`` runs inside the tasks.  Without one, callers keep
-    their deterministic text.
+    ``generate(text) -> text`` runs inside the tasks.  Without a reply callers keep
+    their deterministic text; ``error`` says what went wrong.
     """
-    schema = rows.select(*keys, F.lit("").alias("reply")).schema
+    none = F.lit(None).cast("string")
+    schema = rows.select(*keys, none.alias("reply"), none.alias("error")).schema
+
+    def attempt(text):
+        try:
+            return generate(text), None
+        except Exception as e:  # one failing call must not fail the others
+            return None, f"{type(e).__name__}: {e}"
 
     def answer(batches):
         for batch in batches:
-            batch["reply"] = [_quiet(generate, p) for p in batch.pop(prompt)]
-            yield batch
+            found = [attempt(p) for p in batch.pop(prompt)]
+            yield batch.assign(reply=[r for r, _ in found], error=[e for _, e in found])
 
     return rows.select(*keys, prompt).mapInPandas(answer, schema)
-
-
-def _quiet(generate, text):
-    try:
-        return generate(text)
-    except Exception:  # a failing call must leave the deterministic text in place
-        return None

@@ -43,34 +43,39 @@ def ignored_by(profile: str, path: Column) -> Column:
     return profiles[profile]()
 
 
-def walkable(files: DataFrame) -> DataFrame:
-    """Files a walk of limited depth lists."""
+def walkable(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Files a walk lists, of limited depth if asked for."""
     path = F.col("path")
-    return files.where(
-        ~pruned_directory(path) & ~dropped_file(path) & (F.size(F.split(path, "/")) <= K.MAX_TREE_DEPTH + 1)
-    )
+    listed = files.where(~pruned_directory(path) & ~dropped_file(path))
+    return listed if max_depth is None else listed.where(F.size(F.split(path, "/")) <= max_depth + 1)
 
 
-def config_samples(files: DataFrame) -> DataFrame:
-    """Known root manifests, cut to their first characters: ``repo_id, path, sample``."""
-    n = K.CONFIG_CHARS
+def config_samples(files: DataFrame, n: int | None = None) -> DataFrame:
+    """Known root manifests, cut to their first ``n`` characters if asked for: ``repo_id, path, sample``."""
     rows = files.where(F.col("path").isin(K.CONFIG_FILES))
+    if n is None:
+        return rows.select("repo_id", "path", F.col("content").alias("sample"))
     cut = F.substring("content", 1, n)
     sample = F.when(F.length("content") >= n, F.concat(cut, F.lit("\n... [truncated]"))).otherwise(cut)
     return rows.select("repo_id", "path", sample.alias("sample"))
 
 
 def tree_map(
-    index: DataFrame, files: DataFrame, max_files: int = K.MAX_TREE_FILES, inline: int = skew.INLINE_LINES
+    index: DataFrame,
+    files: DataFrame,
+    max_files: int | None = None,
+    max_depth: int | None = None,
+    sample_chars: int | None = None,
+    part_lines: int = skew.PART_LINES,
 ) -> DataFrame:
-    """Indented listing per repository, files capped, followed by the manifest samples.
+    """Indented listing per repository, followed by the manifest samples, in parts.
 
     Listings come from the file index; ``files`` is read for root manifests only.
     """
     path = F.col("path")
     paths = index.select("repo_id", "path").where(~pruned_directory(path))
     dirs = _parents(path)
-    depth_cap = F.least(F.size(dirs), F.lit(K.MAX_TREE_DEPTH))
+    depth_cap = F.size(dirs) if max_depth is None else F.least(F.size(dirs), F.lit(max_depth))
     own = paths.where(F.size(dirs) > 0).select("repo_id", F.slice(dirs, F.lit(1), depth_cap).alias("dirs")).distinct()
     every = own.select(
         "repo_id",
@@ -81,13 +86,16 @@ def tree_map(
         "repo_id", F.lit(0).alias("section"), "dirs", F.lit("").alias("name"),
         F.concat(indent, F.lit("[Dir] "), F.element_at("dirs", -1), F.lit("/")).alias("line"),
     )
-    listed = walkable(index.select("repo_id", "path")).select(
+    listed = walkable(index.select("repo_id", "path"), max_depth).select(
         "repo_id", dirs.alias("dirs"), basename(path).alias("name")
     )
-    w = Window.partitionBy("repo_id").orderBy("dirs", "name")
-    # One file more than the cap is kept: its place carries the marker.
-    capped = listed.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_files + 1)
-    entry = F.when(F.col("n") <= max_files, F.concat(F.lit("- "), "name")).otherwise("... (max file limit reached)")
+    entry = F.concat(F.lit("- "), "name")
+    capped = listed
+    if max_files is not None:
+        w = Window.partitionBy("repo_id").orderBy("dirs", "name")
+        # One file more than the cap is kept: its place carries the marker.
+        capped = listed.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_files + 1)
+        entry = F.when(F.col("n") <= max_files, entry).otherwise("... (max file limit reached)")
     file_lines = capped.select(
         "repo_id", F.lit(0).alias("section"), "dirs", "name", F.concat(indent, F.lit("  "), entry).alias("line")
     )
@@ -96,7 +104,7 @@ def tree_map(
     gap = repos.select("repo_id", F.lit(1).alias("section"), no_dirs.alias("dirs"), F.lit("").alias("name"),
                        F.lit("").alias("line"))
     place = F.lpad(F.array_position(F.array(*[F.lit(c) for c in K.CONFIG_FILES]), F.col("path")).cast("string"), 2, "0")
-    samples = config_samples(files).select(
+    samples = config_samples(files, sample_chars).select(
         "repo_id", F.lit(2).alias("section"), no_dirs.alias("dirs"), place.alias("name"),
         F.concat(F.lit("\n--- Root Configuration File: "), "path", F.lit(" ---\n"), "sample").alias("line"),
     )
@@ -105,4 +113,4 @@ def tree_map(
     lines = dir_lines.unionByName(file_lines).unionByName(samples).unionByName(
         gap.join(without, "repo_id", "left_semi")
     )
-    return skew.assemble(lines, ["repo_id"], ["section", "dirs", "name"], "line", "tree", inline=inline)
+    return skew.assemble(lines, ["repo_id"], ["section", "dirs", "name"], "line", "tree", part_lines)

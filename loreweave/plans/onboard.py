@@ -43,7 +43,7 @@ def survey(files: DataFrame, candidates: Callable[[DataFrame], dom.Domains] | No
 
 
 def dependencies(found: Survey) -> DataFrame:
-    """Capped dependency rows of every domain."""
+    """Dependency rows of every domain."""
     return materialise(specs.spec_dependencies(found.domains, found.features, found.index))
 
 
@@ -53,7 +53,8 @@ def onboard(files: DataFrame, generate: Callable[[str], str] | None = None) -> t
     deps = dependencies(found)
     narratives = None
     if generate is not None:
-        prompts = specs.spec_prompts(found.domains, deps, files).where("part = ''")
+        # A prompt too long for one part is generated from its first; the reply is one per domain.
+        prompts = specs.spec_prompts(found.domains, deps, files).where("part_no = 0")
         narratives = specs.apply_text_generator(prompts, specs.DOMAIN, "prompt", generate)
     docs = specs.spec_markdown(found.domains, deps, found.features, narratives)
     return docs, specs.spec_meta(found.domains, deps)

@@ -17,6 +17,19 @@ def upsert(existing: DataFrame | None, new: DataFrame, key: list[str], order: li
     return latest.select(*key, *[F.col(f"row.{c}").alias(c) for c in values])
 
 
+def upsert_parts(existing: DataFrame | None, new: DataFrame, key: list[str], order: list[str], part: str) -> DataFrame:
+    """Rows of the winning document per key, all its parts: ``new`` beats ``existing``, then the last by ``order``.
+
+    The winner is chosen from keys and orders alone; texts meet it afterwards.
+    """
+    rows = new.withColumn("_new", F.lit(1))
+    if existing is not None:
+        rows = rows.unionByName(existing.withColumn("_new", F.lit(0)), allowMissingColumns=True)
+    won = rows.groupBy(*key).agg(F.max(F.struct("_new", *order)).alias("_won"))
+    kept = rows.join(won, key).where(F.struct("_new", *order) == F.col("_won"))
+    return kept.drop("_new", "_won")
+
+
 def write_version(df: DataFrame, folder: str, version: int) -> str:
     """Write one version of a table; writing the same version again replaces it."""
     path = f"{folder}/version={version:012d}"

@@ -7,19 +7,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loreweave.operators.treemap import walkable
 
 
-def read_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root/<repo_id>/``: ``repo_id, path, content``.
+MAX_BYTES = 64 << 20  # larger files are named, not read
 
-    Bytes that are no valid UTF-8 become replacement characters.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    below = F.element_at(F.split("path", base + "/", 2), -1)
-    return raw.select(
+
+def list_source_tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Files a walk lists below ``root/<repo_id>/``, without their content: ``repo_id, path, url, length, oversized``."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    base = root.rstrip("/").split("://")[-1].strip("/") + "/"
+    below = F.substr(F.col("path"), F.locate(base, F.col("path")) + len(base))
+    listed = raw.select(
         F.substring_index(below, "/", 1).alias("repo_id"),
         F.substr(below, F.locate("/", below) + 1).alias("path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        F.col("path").alias("url"),
+        "length",
+        (F.col("length") > max_bytes).alias("oversized"),
+    )
+    return walkable(listed)
+
+
+def read_source_tree(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Listed files with their text: ``repo_id, path, content``.
+
+    The content of ignored and oversized files is never read: the filters reach the
+    reader's length and path columns.  Bytes that are no valid UTF-8 become
+    replacement characters.
+    """
+    base = root.rstrip("/").split("://")[-1].strip("/") + "/"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
+    below = F.substr(F.col("path"), F.locate(base, F.col("path")) + len(base))
+    named = raw.select(
+        F.substring_index(below, "/", 1).alias("repo_id"), F.substr(below, F.locate("/", below) + 1).alias("path"), "content"
     )
+    return walkable(named).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def source_scan(files: DataFrame) -> DataFrame:

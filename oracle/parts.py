@@ -114,7 +114,7 @@ PARTS = {
     "c_index": """select repo_id, path, ext, base, base[:len(base) - len(ext)] as stem, path[:len(path) - len(ext)] as root, dirs,
  regexp_matches(path, '(^|/)\\.') as hidden from c_files""",
     "c_tree": f"""select * from c_files where len(list_filter(dirs, lambda d: d[1] = '.' or list_contains({_tree_dirs}, d))) = 0""",
-    "c_walk": """select * from c_tree where base[1] <> '.' and len(dirs) <= 3
+    "c_walk": """select * from c_tree where base[1] <> '.'
  and not regexp_matches(base, '(\\.pyc|\\.png|\\.jpg|\\.jpeg|\\.ico|\\.svg|\\.zip|\\.tar\\.gz|\\.lock)$')""",
     "c_edges": _pos([b for d in DIALECTS.values() for b in d]),
     "c_ts_edges": _pos([B_TS]),
@@ -148,24 +148,23 @@ PARTS = {
     "c_next_members": r"""select repo_id, 0 as kind, regexp_extract(path, '^src/app/api/([^/]+)/', 1) as name,
   case when base = 'route.tsx' then 1 else 0 end as rank, path from c_index
   where base in ('route.ts','route.tsx') and regexp_matches(path, '^src/app/api/[^/]+/')
- union all select repo_id, 1, 'AI-SERVICES', 0, path from (select repo_id, path, row_number() over (partition by repo_id order by path) as n
-  from c_index where path like 'src/app/services/%.ts') where n <= 5
+ union all select repo_id, 1, 'AI-SERVICES', 0, path from c_index where path like 'src/app/services/%.ts'
  union all select repo_id, 2, 'APP-CONFIG', 0, path from c_index where regexp_matches(path, '^src/app/config/[^/.][^/]*\.ts$')""",
     "c_next_names": """select *, row_number() over (partition by repo_id order by kind, name) as domain_no
  from (select distinct repo_id, kind, name from c_next_members)""",
     "c_next": f"""select n.repo_id, n.domain_no, case when n.kind = 0 then {spec_id('n.name')} else n.name end as spec_id,
  case n.kind when 1 then 'AI Services Layer' when 2 then 'App Configuration' else {title("translate(n.name, '-_', '  ')")} end as display_name,
- m.rank, m.path from c_next_names n join c_next_members m on m.repo_id = n.repo_id and m.kind = n.kind and m.name = n.name where n.domain_no <= 10""",
+ m.rank, m.path from c_next_names n join c_next_members m on m.repo_id = n.repo_id and m.kind = n.kind and m.name = n.name""",
     "c_py_tiers": """select repo_id, path, stem, case when lower(stem) in ('routes','router','views','api','handlers','endpoints') then 1
   when list_has_any(dirs, ['routes','api','views','handlers']) then 2 when len(dirs) = 0 then 3 end as tier
  from c_index where path like '%.py' and not hidden and not contains(path, '.venv') and not contains(path, '__pycache__')""",
     "c_py": f"""select repo_id, domain_no, {spec_id('stem')} as spec_id, {title("replace(stem, '_', ' ')")} as display_name, 0 as rank, path
  from (select *, row_number() over (partition by repo_id order by path) as domain_no
-  from (select *, min(tier) over (partition by repo_id) as best from c_py_tiers where tier is not null) where tier = best) where domain_no <= 10""",
+  from (select *, min(tier) over (partition by repo_id) as best from c_py_tiers where tier is not null) where tier = best)""",
     "c_gen": f"""select repo_id, domain_no, {spec_id('top')} as spec_id, {title("translate(top, '-_', '  ')")} as display_name, 0 as rank, path
  from (select *, row_number() over (partition by repo_id order by top) as domain_no
   from (select repo_id, dirs[1] as top, min(path) as path from c_index where len(dirs) > 0 and not hidden
-    and dirs[1] not in ('node_modules','__pycache__','.venv','dist','build') and ext in ('.ts','.tsx','.js','.py') group by all)) where domain_no <= 10""",
+    and dirs[1] not in ('node_modules','__pycache__','.venv','dist','build') and ext in ('.ts','.tsx','.js','.py') group by all))""",
     "c_entry": """select d.*, f.framework from c_next d join c_framework f using (repo_id) where f.framework = 'nextjs'
  union all select d.*, f.framework from c_py d join c_framework f using (repo_id) where f.framework in ('fastapi','flask','python')
  union all select d.*, f.framework from c_gen d join c_framework f using (repo_id) where f.framework in ('nodejs','generic')""",
@@ -206,10 +205,9 @@ PARTS = {
      'api_route' as type, verb || ' /' || path as name, path as file
    from (select m.*, v.pos, v.verb from c_members m join c_verbs v on v.repo_id = m.repo_id and v.path = m.path where m.role = 'entry')
    union all
-   select repo_id, domain_no, 1, row_number() over (partition by repo_id, domain_no order by role, rank, path, pos), type, name, file from c_first_deps))
- where dep_no <= 30""",
-    "c_types": """select repo_id, domain_no, string_agg(type, ',' order by at) as types from (
-  select repo_id, domain_no, type, min(dep_no) as at from c_spec_deps group by all) group by repo_id, domain_no""",
+   select repo_id, domain_no, 1, row_number() over (partition by repo_id, domain_no order by role, rank, path, pos), type, name, file from c_first_deps))""",
+    "c_types": """select repo_id, domain_no, string_agg(type, ',' order by first_no) as types from (
+  select repo_id, domain_no, type, min(dep_no) as first_no from c_spec_deps group by all) group by repo_id, domain_no""",
     "c_tags": """select h.*, h.framework || coalesce(',' || t.types, '') || ',' || replace(lower(h.display_name), ' ', '-') as tags
  from c_heads h left join c_types t using (repo_id, domain_no)""",
     "c_guard": """select repo_id, domain_no, first(auth order by rank, path) as auth from c_entry join c_auth using (repo_id, path)
@@ -224,12 +222,10 @@ PARTS = {
  h.spec_id
  from c_heads h
  join (select repo_id, domain_no, string_agg('| `' || path || '` | Entry point |', chr(10) order by rank, path) as lines from c_entry group by all) e using (repo_id, domain_no)
- left join (select repo_id, domain_no, string_agg('- `' || path || '`', chr(10) order by path) as lines from (
-    select *, row_number() over (partition by repo_id, domain_no order by path) as n from c_related) where n <= 10 group by all) r using (repo_id, domain_no)
- left join (select repo_id, domain_no, string_agg('| ' || type || ' | ' || name || ' | `' || file || '` |', chr(10) order by dep_no) as lines from (
-    select *, row_number() over (partition by repo_id, domain_no order by dep_no) as n from c_spec_deps where type <> 'external_package') where n <= 20 group by all) d using (repo_id, domain_no)
+ left join (select repo_id, domain_no, string_agg('- `' || path || '`', chr(10) order by path) as lines from c_related group by all) r using (repo_id, domain_no)
+ left join (select repo_id, domain_no, string_agg('| ' || type || ' | ' || name || ' | `' || file || '` |', chr(10) order by dep_no) as lines from c_spec_deps where type <> 'external_package' group by all) d using (repo_id, domain_no)
  left join c_guard g using (repo_id, domain_no)""",
-    "c_markdown": "select repo_id, domain_no, spec_id, '' as part, opening || overview || rest as markdown from c_lines",
+    "c_markdown": "select repo_id, domain_no, spec_id, opening || overview || rest as markdown from c_lines",
     # ---- changes ------------------------------------------------------------------------
     "c_meta": """select spec_id, meta_json::json as j from v_spec_meta where json_valid(meta_json)""",
     "c_meta_deps": """select spec_id, unnest(range(json_array_length(j, '$.dependencies')::bigint)) as i, j from c_meta""",
@@ -269,7 +265,7 @@ PARTS = {
     "c_ruled_specs": """select i.thread_id, i.turn, min(r.rank) as rank, r.spec_id from v_intents i join v_rules r on contains(lower(i.intent), lower(r.keyword))
  where r.spec_id in (select spec_id from v_spec_docs) and not exists (select 1 from c_named_specs n where n.thread_id = i.thread_id and n.turn = i.turn) group by all""",
     "c_routes": """select thread_id, turn, pos, spec_id from (select *, row_number() over (partition by thread_id, turn order by rank, spec_id) as pos
- from (select * from c_named_specs union all select * from c_ruled_specs)) where pos <= 3""",
+ from (select * from c_named_specs union all select * from c_ruled_specs))""",
     "c_sections": """select m.spec_id, '## Feature ID: ' || m.spec_id || chr(10) || chr(10) || 'Dependencies:' || chr(10) || chr(10)
  || coalesce(d.lines, '- None') as section from c_meta m left join (select spec_id, string_agg('- Type: ' || type || ', Name: ' || name || ', File: ' || file, chr(10) || chr(10) order by i) as lines
  from c_dep_rows group by spec_id) d using (spec_id)""",
@@ -286,8 +282,8 @@ PARTS = {
  case when ok then coalesce((body::json->>'clarification_needed')::boolean, false) else false end as needed,
  case when ok then body::json->>'clarification_message' end as message from (select intent_id, ok, case when ok then body else '{}' end as body from c_replies)""",
     # ---- commits ------------------------------------------------------------------------
-    "c_window": """select repo_id, seq, rn, hexsha[1:8] as hexsha, coalesce(author, 'Unknown') as author, coalesce(trim(message), '') as message, diff[1:2000] as diff
- from (select *, row_number() over (partition by repo_id order by seq desc) as rn from v_commits) where rn <= 50""",
+    "c_window": """select repo_id, seq, rn, coalesce(hexsha, '') as hexsha, coalesce(author, 'Unknown') as author, coalesce(trim(message), '') as message, coalesce(diff, '') as diff
+ from (select *, row_number() over (partition by repo_id order by seq desc) as rn from v_commits)""",
     "c_batches": """select repo_id, (rn - 1) // 5 as batch_id, string_agg('Commit: ' || hexsha || chr(10) || 'Author: ' || author || chr(10) || 'Message: ' || message
  || chr(10) || 'Diff:' || chr(10) || diff || chr(10) || chr(10), '' order by rn) as digest from c_window group by all""",
     # ---- candidates ---------------------------------------------------------------------
@@ -298,8 +294,8 @@ PARTS = {
   on b.repo_id = s.repo_id and b.base = string_split(s.path, '/')[-1]
  where coalesce(e.path, b.path) is not null""",
     # ---- throttle -----------------------------------------------------------------------
-    "c_actions": """select spec_id, floor(epoch(ts))::bigint as sec, min(event_id) as event_id from v_throttle_in where success group by all""",
-    "c_jumps": """select a.spec_id, a.sec, a.event_id, b.sec as next_sec from (select *, sec + 300 as due from c_actions) a
+    "c_actions": """select spec_id, epoch_us(ts) as sec, min(event_id) as event_id from v_throttle_in where success group by all""",
+    "c_jumps": """select a.spec_id, a.sec, a.event_id, b.sec as next_sec from (select *, sec + 300000000 as due from c_actions) a
  asof left join c_actions b on a.spec_id = b.spec_id and a.due <= b.sec""",
     "c_rec_accepted": """select spec_id, sec, event_id, next_sec from c_jumps where (spec_id, sec) in (select spec_id, min(sec) from c_actions group by spec_id)
  union all select j.spec_id, j.sec, j.event_id, j.next_sec from c_rec_accepted r join c_jumps j on j.spec_id = r.spec_id and j.sec = r.next_sec""",
