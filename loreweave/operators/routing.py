@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from loreweave.functions import constants as K
 from loreweave.functions.text import unfence
+from loreweave.session import materialise
 from loreweave.sources.catalog import is_json
 
 REPLY = (
@@ -14,25 +15,26 @@ REPLY = (
 
 
 def containing(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """Texts joined with the patterns that occur in them, case-folded.
+    """Texts joined with the patterns that occur in them, case-folded: ``keys`` and the patterns' columns.
 
-    A pattern occurs in a text exactly if it equals one of the text's substrings
-    of its length, so the theta join becomes an equi-join: work grows with text
-    length times the number of distinct pattern lengths, never with texts times
-    patterns.
+    All patterns begin with some gram of the shortest pattern's length, and a text
+    that has a pattern has its gram.  So texts and patterns meet on distinct grams of
+    one length, and only such pairs are searched: work grows with text length, never
+    with texts times patterns.
     """
     wanted = patterns.withColumn("_sub", F.lower(pattern)).where("_sub <> ''")
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("_sub")))).scalar()
-    folded = texts.select(*keys, F.lower(text).alias("_text"), lengths.alias("_lengths"))
-    fitting = F.filter("_lengths", lambda n: n <= F.length("_text"))
-    windows = F.transform(
-        fitting,
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.length("_text") - n + 1), lambda i: F.substring("_text", i, n)
-        ),
+    size = F.coalesce(wanted.agg(F.min(F.length("_sub"))).scalar(), F.lit(1))
+    wanted = wanted.withColumn("_size", size).withColumn("_gram", F.substring("_sub", F.lit(1), F.col("_size"))).drop("_size")
+    folded = texts.select(*keys, F.lower(text).alias("_text"), size.alias("_size"))
+    grams = F.transform(
+        F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1), lambda i: F.substring("_text", i, F.col("_size"))
     )
-    subs = folded.select(*keys, F.explode(F.array_distinct(F.flatten(windows))).alias("_sub"))
-    return subs.join(wanted, "_sub").drop("_sub")
+    long_enough = folded.where(F.length("_text") >= F.col("_size"))
+    known = long_enough.select(*keys, F.explode(F.array_distinct(grams)).alias("_gram")).join(
+        wanted.select("_gram").distinct(), "_gram", "left_semi"
+    )
+    likely = known.join(wanted, "_gram").drop("_gram")
+    return likely.join(folded.drop("_size"), keys).where(F.contains("_text", F.col("_sub"))).drop("_text", "_sub")
 
 
 def _numbered(matches: DataFrame, keys: list[str], order: list[str], top: int | None) -> DataFrame:
@@ -55,7 +57,7 @@ def route_intents(
     Identifiers named in the intent come in catalogue order; only an intent that
     names none is matched against the keyword rules, in rank order.
     """
-    named = direct_matches(intents, keys, catalog).select(*keys, F.lit(0).alias("rank"), "spec_id")
+    named = materialise(direct_matches(intents, keys, catalog).select(*keys, F.lit(0).alias("rank"), "spec_id"))
     usable = rules.join(catalog.select("spec_id"), "spec_id", "left_semi")
     others = intents.join(named.select(*keys).distinct(), keys, "left_anti")
     ruled = containing(others, keys, "intent", usable, "keyword").groupBy(*keys, "spec_id").agg(

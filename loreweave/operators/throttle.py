@@ -9,8 +9,7 @@ distinct first action in the gap; the summaries are chained per key (one short a
 per chunk); then all chunks are replayed in parallel.
 
 Times count in microseconds.  Attempts at one time collapse to the first; a chunk is
-a tenth of an hour by default, so what a task holds is bounded by the actions of one
-key in that time.
+a day by default, so what a task holds is bounded by the actions of one key in a day.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loreweave.functions.constants import THROTTLE_SECONDS
 
-CHUNK = 360  # seconds
+CHUNK = 86_400  # seconds
 
 # Executors get these functions with the task; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
