@@ -42,8 +42,9 @@ SAMPLE_CHARS = 30_000
 STEM_SIZES = range(4, 11)
 MIN_LOG_ODDS = 2.5
 SIGNIFICANCE = 0.05
-EXPLAINED = 6
-MIN_GAIN = 3             # toxic texts that a stem must help to explain
+EXPLAINED = 3
+MIN_GAIN = 3             # toxic texts that a stem must help to explain, and
+MIN_GAIN_SHARE = 0.015   # the share of them
 MAX_CLEAN_SHARE = 0.002  # of clean texts that may have a stem misspelled
 FUZZY_FROM = 5           # characters
 WINDOW = 10
@@ -204,14 +205,14 @@ def significant(toxic: int, clean: int, n_toxic: int, n_clean: int, tried: int)
     return toxic > rate * n_toxic and tail * tried < SIGNIFICANCE
 
 
-def choose(covers: dict[str, set], costs: dict[str, float]) -> list[str]:
+def choose(covers: dict[str, set], costs: dict[str, float], least: float) -> list[str]:
     """Greedy choice by texts a stem helps to explain less its cost (of several the longest, then the first)."""
     chosen, left = [], dict.fromkeys((d for c in covers.values() for d in c), EXPLAINED)
     open_ = {s: set(d) for s, d in covers.items()}
     while open_:
         best = max(open_, key=lambda s: (len(open_[s]) - costs[s], len(s), s))
         mine = open_.pop(best)
-        if len(mine) - costs[best] < MIN_GAIN:
+        if len(mine) - costs[best] < least:
             break
         chosen.append(best)
         done = set()
@@ -265,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         if significant(r.toxic, r.clean, n_toxic, n_clean, tried):
             covers[r.stem], weights[r.stem] = set(r.ids), r.weight
             costs[r.stem] = 10 * r.clean * n_toxic / max(1, n_clean)
-    stems = {s: weights[s] for s in choose(covers, costs)}
+    stems = {s: weights[s] for s in choose(covers, costs, max(MIN_GAIN, MIN_GAIN_SHARE * n_toxic))}
     fuzzy = {s for s in stems if len(s) >= FUZZY_FROM}
     clean_hits = _fuzzy_in_clean(sample.where("y = 0"), stems, fuzzy)
     fuzzy = {s for s in fuzzy if clean_hits.get(s, 0) <= MAX_CLEAN_SHARE * n_clean}

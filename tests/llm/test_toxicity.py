@@ -65,7 +65,7 @@ def test_quotation_weighs_less(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 2)) for i in range(300)], "doc_id long, toxic int")
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(toxicity, "MIN_LOG_ODDS", 0.3)
-        patch.setattr(toxicity, "choose", lambda covers, costs: ["blorgface"])
+        patch.setattr(toxicity, "choose", lambda covers, costs, least: ["blorgface"])
         rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert all(r.predicted == int(r.doc_id % 3 == 2) for r in rows)
 
