@@ -76,9 +76,12 @@ class Piece:
     def prefix(self) -> None:
         """Prepares ``span``."""
         n = len(self.data)
-        self._inv = _powers(_INVERSE, n + 1)
+        terms = _powers(BASE, n)
+        terms *= _BYTES[self.data]
         self._sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * _powers(BASE, n), out=self._sum[1:])
+        np.cumsum(terms, out=self._sum[1:])
+        del terms
+        self._inv = _powers(_INVERSE, n + 1)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges, alike for alike bytes in any piece."""

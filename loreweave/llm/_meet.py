@@ -10,22 +10,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 PART_BYTES = 48 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers at the least width that holds them: the width, then their bytes by significance."""
+    """Unsigned integers at the least width that holds them: the width, then their bytes by significance, compressed."""
     values = np.ascontiguousarray(values, np.uint64)
     top = int(values.max()) if len(values) else 0
     width = max(1, (top.bit_length() + 7) // 8)
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(data: bytes) -> np.ndarray:
     width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view(np.uint64).ravel()
@@ -42,23 +44,23 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), unpack(data[8:])]), dtype=np.uint64)
 
 
-def totals(asks: DataFrame, counts: list[str], n_keys: int, parts_at_least: int | None = None) -> DataFrame:
+def totals(asks: DataFrame, counts: list[str], n_keys: int, bits: int = 64, mark_new: bool = False) -> DataFrame:
     """``owner, totals``: for each of ``counts`` (packed, by key), the packed sums over all owners by key.
 
-    ``_new`` marks, for each key, one owner that has it.
+    ``bits`` is the width of the keys, which are evenly spread.  ``mark_new`` adds
+    ``_new``: for each key, a mark at one owner that has it.
 
     ``asks`` has ``owner`` (unique, long), ``keys`` (``pack_sorted``, distinct) and
     the ``counts`` columns.  ``n_keys`` is the number of entries, or more.
     """
-    least = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")) if parts_at_least is None else parts_at_least
-    parts = max(least, n_keys * 8 * (2 + len(counts)) // PART_BYTES + 1)
-    width = (1 << 64) // parts + 1
-    ends = np.array([min((i + 1) * width, (1 << 64) - 1) for i in range(parts)], np.uint64)
+    parts = max(int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_keys * 8 * (2 + len(counts)) // PART_BYTES + 1)
+    width = (1 << bits) // parts + 1
+    ends = np.array([min((i + 1) * width, (1 << bits) - 1) for i in range(parts)], np.uint64)
 
     def deal(iterator):
         for batch in iterator:
-            for owner, keys, *own in zip(*[batch.column(c).to_pylist() for c in ["owner", "keys", *counts]]):
-                keys = unpack_sorted(keys)
+            for row in rows_of(batch):
+                owner, keys, own = row["owner"], unpack_sorted(row["keys"]), [row[c] for c in counts]
                 cut = np.searchsorted(keys, ends, "left")
                 cut[-1] = len(keys)
                 own = [unpack(x) for x in own]
@@ -77,16 +79,22 @@ def totals(asks: DataFrame, counts: list[str], n_keys: int, parts_at_least: int
         new[seen] = 1
         sums = [np.bincount(place, weights=np.concatenate([unpack(x) for x in group.column(c).to_pylist()]).astype(float), minlength=len(whole)).astype(np.uint64) for c in counts]
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        answers = [[pack(s[at]) for at in np.split(place, cuts)] for s in sums] + [[pack(x) for x in np.split(new, cuts)]]
+        answers = [[pack(s[at]) for at in np.split(place, cuts)] for s in sums] + [[pack(x) for x in np.split(new, cuts)]] * mark_new
         return pa.table([group.column("owner"), group.column("part"), *[pa.array(a, pa.binary()) for a in answers]], names=["owner", "part", *out])
 
-    out = [f"_{c}" for c in [*counts, "new"]]
+    out = [f"_{c}" for c in [*counts, *["new"] * mark_new]]
     fields = ", ".join(f"{c} binary" for c in counts)
     dealt = asks.select("owner", "keys", *counts).mapInArrow(deal, f"part int, owner long, keys binary, {fields}")
     answered = dealt.groupBy("part").applyInArrow(add, "owner long, part int, " + ", ".join(f"{c} binary" for c in out))
     return answered.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("part", *out))).alias("totals"))
 
 
+def rows_of(batch: pa.RecordBatch):
+    """Rows as dictionaries, one at a time: packed blocks are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def joined_totals(parts: list[dict], count: str) -> np.ndarray:
     """The totals of one owner in the order of its keys."""
     return np.concatenate([np.zeros(0, np.uint64), *[unpack(p[f"_{count}"]) for p in parts]])

@@ -5,6 +5,7 @@ A written table cuts the lineage: a lost executor costs only the reading of it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -35,6 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs.
+
+    Spark deletes them once the driver has collected the jobs' objects, which a large
+    heap may put off for long; between steps with large shuffles that would add up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loreweave.llm import _bytes as B
-from loreweave.llm._meet import joined_totals, pack, pack_sorted, totals, unpack, unpack_sorted
-from loreweave.llm._shared import crc_fold, packed, table, unpacked, written
+from loreweave.llm._meet import joined_totals, pack, pack_sorted, rows_of, totals, unpack, unpack_sorted
+from loreweave.llm._shared import crc_fold, packed, release, table, unpacked, written
 
 HELD_OUT = 1            # fold that is scored only
 DELETED = 0             # training fold that the weights are learned on
 CHUNK_BYTES = 6 << 20
+PAIR_BITS = 56          # of the key of a pair; words have 64
 START, END = np.uint64(1), np.uint64(2)  # keys of the text's ends
 STEPS = 4               # tally steps per octave
 OCTAVES = 48
@@ -77,55 +78,55 @@ def _chunks(iterator):
 
 
 class Chunk:
-    """Tokens of a chunk, and its distinct n-grams in the order of their keys."""
+    """Tokens of a chunk: their words, contexts and pairs, by place in the chunk's sorted keys."""
 
     def __init__(self, row: dict):
         self.lengths = unpack(row["lengths"]).astype(np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.lengths)])
         self.folds = np.frombuffer(row["folds"], np.int8)
         self.words = unpack_sorted(row["words"])
-        self.ids = unpack(row["ids"]).astype(np.int64)
-        self.fold = np.repeat(self.folds, self.lengths)
-        self.token = np.ones(len(self.ids), bool)  # all but starts
-        self.token[self.first[:-1]] = False
-        n = len(self.words)
-        context = np.concatenate([[0], self.ids[:-1]])
-        at = np.flatnonzero(self.token)
-        pairs, self.pair = np.unique(context[at] * n + self.ids[at], return_inverse=True)
-        self.word, self.context = self.ids[at], context[at]
-        self.own_fold = self.fold[at]
-        left, right = self.words[pairs // max(1, n)], self.words[pairs % max(1, n)]
-        pair_keys = B.mix(left * B.BASE + right)
-        self.order = np.argsort(np.concatenate([self.words, pair_keys]), kind="stable")
-        self.keys = np.concatenate([self.words, pair_keys])[self.order]
-        self.n_pairs = len(pairs)
-
-    def counts(self, folds) -> np.ndarray:
-        """Words (starts too), then pairs, in the order of the keys."""
-        in_all, in_own = np.isin(self.fold, folds), np.isin(self.own_fold, folds)
-        words = np.bincount(self.ids[in_all], minlength=len(self.words))
-        return np.concatenate([words, np.bincount(self.pair[in_own], minlength=self.n_pairs)])[self.order]
-
-    def answered(self, parts, count) -> tuple[np.ndarray, np.ndarray]:
-        """Totals by word and by pair."""
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = joined_totals(parts, count).astype(np.int64)
-        return out[: len(self.words)], out[len(self.words) :]
+        ids = unpack(row["ids"]).astype(np.int32)
+        ends = np.cumsum(self.lengths)
+        token = np.ones(len(ids), bool)  # all but starts
+        token[ends - self.lengths] = False
+        at = np.flatnonzero(token)
+        self.starts, self.start_id = self.folds, int(np.searchsorted(self.words, START))
+        self.word, self.context = ids[at], ids[at - 1]
+        self.fold = np.repeat(self.folds, self.lengths - 1)
+        self.first = ends - self.lengths - np.arange(len(ends))
+        keys = B.mix(self.words[self.context] * B.BASE + self.words[self.word]) >> np.uint64(64 - PAIR_BITS)
+        self.pairs, self.pair = np.unique(keys, return_inverse=True)
+
+    def word_counts(self, folds) -> np.ndarray:
+        out = np.bincount(self.word[np.isin(self.fold, folds)], minlength=len(self.words))
+        if len(out):
+            out[self.start_id] += np.isin(self.starts, folds).sum()
+        return out
+
+    def pair_counts(self, folds) -> np.ndarray:
+        return np.bincount(self.pair[np.isin(self.fold, folds)], minlength=len(self.pairs))
 
 
 def _training(deleted: bool) -> list[int]:
     return [f for f in range(5) if f != HELD_OUT and not (deleted and f == DELETED)]
 
 
-def _asks(iterator):
-    for batch in iterator:
-        for row in batch.to_pylist():
-            c = Chunk(row)
-            rest, deleted = c.counts(_training(True)), c.counts([DELETED])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["owner"]], pa.int64()), pa.array([pack_sorted(c.keys)], pa.binary()), pa.array([pack(rest)], pa.binary()), pa.array([pack(deleted)], pa.binary()), pa.array([len(c.keys)], pa.int64())],
-                ["owner", "keys", "rest", "deleted", "n"],
-            )
+def _asks(pairs: bool):
+    def run(iterator):
+        for batch in iterator:
+            for row in rows_of(batch):
+                c = Chunk(row)
+                keys, counts = (c.pairs, c.pair_counts) if pairs else (c.words, c.word_counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["owner"]], pa.int64()), *[pa.array([x], pa.binary()) for x in (pack_sorted(keys), pack(counts(_training(True))), pack(counts([DELETED])))]],
+                    ["owner", "keys", "rest", "deleted"],
+                )
+
+    return run
+
+
+def _counts(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Totals by word and by pair."""
+    return tuple(joined_totals(row[which], name).astype(np.int64) for which in ("of_words", "of_pairs"))
 
 
 def octave(counts: np.ndarray) -> np.ndarray:
@@ -148,15 +149,14 @@ def _tally(iterator):
     total: dict[int, int] = {}
     types = rest_types = 0
     for batch in iterator:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             c = Chunk(row)
-            rest, rest_pairs = c.answered(row["totals"], "rest")
-            deleted, _ = c.answered(row["totals"], "deleted")
-            new, _ = c.answered(row["totals"], "new")
+            rest, rest_pairs = _counts(row, "rest")
+            deleted, new = (joined_totals(row["of_words"], x).astype(np.int64) for x in ("deleted", "new"))
             counted = (new > 0) & (c.words != START)
             types += int((counted & (rest + deleted > 0)).sum())
             rest_types += int((counted & (rest > 0)).sum())
-            at = np.flatnonzero(c.own_fold == DELETED)
+            at = np.flatnonzero(c.fold == DELETED)
             context = rest[c.context[at]]
             ratio = rest_pairs[c.pair[at]] / np.maximum(1, context)
             cells, n = np.unique((octave(context) * wide + _step(ratio)) * wide + _step(rest[c.word[at]].astype(float)), return_counts=True)
@@ -197,15 +197,14 @@ def _scores(shared):
     def run(iterator):
         w: Weights = shared.value
         for batch in iterator:
-            for i, row in enumerate(batch.drop_columns("rows").to_pylist()):
+            for i, row in enumerate(rows_of(batch.drop_columns("rows"))):
                 c = Chunk(row)
-                words, pairs = (r + d for r, d in zip(c.answered(row["totals"], "rest"), c.answered(row["totals"], "deleted")))
+                words, pairs = (r + d for r, d in zip(_counts(row, "rest"), _counts(row, "deleted")))
                 of_word, of_context = words[c.word], words[c.context]
                 low = w.word * of_word / max(1, w.tokens) + (1 - w.word) / (w.types + 1)
                 share = w.pair[octave(of_context)]
                 p = share * pairs[c.pair] / np.maximum(1, of_context) + (1 - share) * low
-                first = c.first - np.arange(len(c.first))  # without the starts
-                add = lambda v, first=first: np.add.reduceat(v, first[:-1]) if len(v) else np.zeros(0)
+                add = lambda v, first=c.first: np.add.reduceat(v, first) if len(v) else np.zeros(0)
                 base = np.log10((of_word + 0.5) / (w.tokens + 0.5 * (w.types + 1)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -231,14 +230,24 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[s
     kind = source.schema["_row"].dataType.simpleString()
     chunks = written(source.mapInArrow(_chunks, f"owner long, rows array<{kind}>, lengths binary, folds binary, words binary, ids binary, n long"), "chunks")
     plain = chunks.select("owner", "lengths", "folds", "words", "ids")
-    asks = plain.mapInArrow(_asks, "owner long, keys binary, rest binary, deleted binary, n long")
     n_tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    answers = written(totals(asks, ["rest", "deleted"], n_tokens), "counts")
-    cells = plain.join(answers, "owner").mapInArrow(_tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    cells = {r.cell: r.n for r in cells}
-    weights = learn(cells, *_token_totals(chunks))
+    fields = "owner long, keys binary, rest binary, deleted binary"
+    answers = []
+    for name, pairs, bits in (("of_words", False, 64), ("of_pairs", True, PAIR_BITS)):
+        asked = totals(plain.mapInArrow(_asks(pairs), fields), ["rest", "deleted"], n_tokens, bits, mark_new=not pairs)
+        answers.append(written(asked.withColumnRenamed("totals", name), name))
+        del asked
+        release(docs.sparkSession)
+
+    def counted(part: DataFrame) -> DataFrame:
+        return part.join(answers[0], "owner").join(answers[1], "owner")
+
+    tallied = counted(plain).mapInArrow(_tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    weights = learn({r.cell: r.n for r in tallied.collect()}, *_token_totals(chunks))
+    del tallied
+    release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    scored = chunks.drop("n").join(answers, "owner").mapInArrow(_scores(shared), f"_row {kind}, {FIELDS}")
+    scored = counted(chunks.drop("n")).mapInArrow(_scores(shared), f"_row {kind}, {FIELDS}")
     return unpacked(scored, keep, RESULTS)
 
 
