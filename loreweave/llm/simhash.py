@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from loreweave.llm import _bytes as B
 from loreweave.llm._components import components
-from loreweave.llm._shared import packed, table, unpacked, written
+from loreweave.llm._shared import packed, release, table, unpacked, written
 
 SHINGLE = 4
 SEED = 42
@@ -205,6 +205,7 @@ def grouped(found: DataFrame, key: str, max_bits: int = MAX_BITS) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """One document of every component: the one with the smallest key (nulls last; of rows alike, any one)."""
     numbered = written(fingerprints(docs, text, docs.columns).withColumn("_no", F.monotonically_increasing_id()), "numbered")
+    release(docs.sparkSession)
     small = numbered.select(F.struct(F.col(f"_row.`{key}`")).alias("_row"), "_fp", "_no")
     rooted = grouped(small, key, max_bits)
     order = F.struct(F.col(f"_row.`{key}`").isNull(), F.col(f"_row.`{key}`"), F.col("_no"))

@@ -45,10 +45,9 @@ def types(text: np.ndarray) -> np.ndarray:
     """True for S-type; the end counts as smaller than any byte."""
     n = len(text)
     differs = np.flatnonzero(text[:-1] != text[1:])
-    at = np.searchsorted(differs, np.arange(n))
     smaller = np.zeros(len(differs) + 1, bool)
     smaller[:-1] = text[differs] < text[differs + 1]
-    return smaller[at]
+    return np.repeat(smaller, np.diff(np.concatenate([[-1], differs, [n - 1]])))
 
 
 def _place(order, at, chars, heads, step) -> None:
@@ -174,7 +173,8 @@ def suffix_array(text: np.ndarray, spool: Spool, depth: int) -> np.ndarray:
 def _agree(text, x, y, length) -> np.ndarray:
     """Which of the pairs of starts have the next ``length`` bytes alike.
 
-    Pairs that follow each other at one distance are compared as one range.
+    Pairs that follow each other at one distance are compared as one range; ranges
+    are taken up by ``4 * BLOCK`` bytes at a time.
     """
     by = np.lexsort((x, y - x))
     x, far = x[by], (y - x)[by]
@@ -183,14 +183,21 @@ def _agree(text, x, y, length) -> np.ndarray:
     begins = np.flatnonzero(fresh)
     lasts = np.concatenate([begins[1:], [len(x)]]) - 1
     sizes = x[lasts] - x[begins] + length
-    offset = np.concatenate([[0], np.cumsum(sizes)])
-    own = np.repeat(np.arange(len(begins)), np.diff(np.concatenate([begins, [len(x)]])))
-    at = x - x[begins][own] + offset[own]
-    place = np.arange(offset[-1]) + np.repeat(x[begins] - offset[:-1], sizes)
-    wrong = np.zeros(offset[-1] + 1, np.int64)
-    np.cumsum(text[place] != text[place + np.repeat(far[begins], sizes)], out=wrong[1:])
-    out = np.zeros(len(x), bool)
-    out[by] = wrong[at + length] == wrong[at]
+    upto = np.cumsum(sizes)
+    out, first = np.zeros(len(x), bool), 0
+    while first < len(begins):
+        before = upto[first] - sizes[first]
+        to = max(first + 1, int(np.searchsorted(upto, before + 4 * BLOCK, "right")))
+        some = slice(first, to)
+        offset = upto[some] - sizes[some] - before
+        place = np.arange(upto[to - 1] - before) + np.repeat(x[begins[some]] - offset, sizes[some])
+        wrong = np.zeros(len(place) + 1, np.int32)
+        np.cumsum(text[place] != text[place + np.repeat(far[begins[some]], sizes[some])], out=wrong[1:])
+        pairs = slice(begins[first], lasts[to - 1] + 1)
+        own = np.repeat(np.arange(to - first), lasts[some] + 1 - begins[some])
+        at = x[pairs] - x[begins[some]][own] + offset[own]
+        out[by[pairs]] = wrong[at + length] == wrong[at]
+        first = to
     return out
 
 
@@ -204,7 +211,7 @@ def classes(text: np.ndarray, valid: np.ndarray, length: int, spool: Spool) -> t
         likely &= text[order[1:] + at] == text[order[:-1] + at]
     likely = np.flatnonzero(likely)
     likely = likely[np.argsort(order[likely], kind="stable")]
-    for a in range(0, len(likely), 4 * BLOCK):
-        some = likely[a : a + 4 * BLOCK]
+    for a in range(0, len(likely), BLOCK):
+        some = likely[a : a + BLOCK]
         same[some] = _agree(text, order[some], order[some + 1], length)
     return order, np.cumsum(np.concatenate([[0], ~same]))[: len(order)]

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loreweave.llm import _bytes as B
 from loreweave.llm import suffix_array as S
-from loreweave.llm._meet import joined_totals, pack, pack_sorted, totals, unpack, unpack_sorted
-from loreweave.llm._shared import packed, table, unpacked, written
+from loreweave.llm._meet import joined_totals, pack, pack_sorted, rows_of, totals, unpack, unpack_sorted
+from loreweave.llm._shared import packed, release, table, unpacked, written
 
 LENGTH = 400
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 RESULTS = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
@@ -107,7 +107,7 @@ def _regions(length: int):
     def run(iterator):
         gram, squeeze = gram_of(length), zstandard.ZstdDecompressor()
         for batch in iterator:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 keys = np.frombuffer(row["anchors"], np.uint64)
                 distinct = np.unique(keys)
                 repeated = joined_totals(row["totals"], "n")[np.searchsorted(distinct, keys)] > 1
@@ -161,7 +161,7 @@ def _classed(length: int):
         whole = np.frombuffer(b"".join(number), np.uint8)
         n = len(whole)
         valid = np.zeros(n, bool)
-        alone = np.zeros(n + 1, np.int64)  # anchors of this shard only
+        alone = np.zeros(n + 1, np.int32)  # anchors of this shard only
         multiple = np.zeros(n, bool)
         done = set()
         for i, g in enumerate(group.tolist()):
@@ -172,7 +172,7 @@ def _classed(length: int):
             multiple[base[g] : base[g] + sizes[g]] = times[g] > 1
             own = np.searchsorted(distinct, np.frombuffer(own_keys[i], np.uint64))
             alone[base[g] + np.frombuffer(places[i], np.int32)[~wide[own]] + 1] = 1
-        alone = np.cumsum(alone)
+        np.cumsum(alone, out=alone)
         with S.Spool() as spool:
             at, kind = S.classes(whole, valid, length, spool)
         many = np.bincount(kind, minlength=1) > 1 if len(kind) else np.zeros(0, bool)
@@ -217,7 +217,7 @@ def _spans(length: int):
 
     def run(iterator):
         for batch in iterator:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 base, sizes, starts = (unpack(row[c]).astype(np.int64) for c in ("base", "sizes", "starts"))
                 chunks = np.frombuffer(row["chunks"], np.int64)
                 repeated = np.unpackbits(np.frombuffer(row["repeated"], np.uint8)).astype(bool)
@@ -277,6 +277,7 @@ def deduplicated(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     """
     if length < 16:
         raise ValueError("strings of fewer than 16 bytes are not supported")
+    spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     source = packed(docs, text, keep)
     kind = source.schema["_row"].dataType.simpleString()
@@ -288,6 +289,7 @@ def deduplicated(docs: DataFrame, text: str = "text", keep: list[str] | None = N
         chunks.select("owner", "blob", "bounds", "places", "anchors").join(totals(asks, ["n"], n_anchors), "owner")
         .mapInArrow(_regions(length), "owner long, start long, bytes binary, places binary, keys binary, hint long, size long"), "regions",
     )
+    release(spark)
     sizes = regions.groupBy("hint").agg(F.sum("size").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     # At most total / shard_bytes anchors are that heavy: a few MB per 10 TB of regions.
@@ -300,6 +302,7 @@ def deduplicated(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     answers = totals(shard_asks, ["n"], n_anchors).withColumnRenamed("owner", "shard")
     fields = "owner long, keys binary, n binary, n_keys long, asked binary, member binary, repeated binary, base binary, sizes binary, chunks binary, starts binary"
     classed = written(sharded.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_classed(length), fields), "classed")
+    release(spark)
     n_keys = classed.agg(F.sum("n_keys")).first()[0] or 0
     across = totals(classed.select("owner", "keys", "n"), ["n"], n_keys)
     spans = classed.drop("keys", "n", "n_keys").join(across, "owner", "left").mapInArrow(_spans(length), "owner long, spans binary")
