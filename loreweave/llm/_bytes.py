@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 PIECE = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C13)  # 3 modulo 8: its powers have the longest period
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
@@ -76,12 +76,12 @@ class Piece:
     def prefix(self) -> None:
         """Prepares ``span``."""
         n = len(self.data)
-        terms = _powers(BASE, n)
+        terms = powers(BASE, n)
         terms *= _BYTES[self.data]
         self._sum = np.zeros(n + 1, np.uint64)
         np.cumsum(terms, out=self._sum[1:])
         del terms
-        self._inv = _powers(_INVERSE, n + 1)
+        self._inv = powers(INVERSE, n + 1)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges, alike for alike bytes in any piece."""

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that it can express."""
 
 import corpus_pipeline
-from loreweave.llm import chat_format, decontaminate, language_model, licenses, packing, quality, simhash, suffix_dedup, token_counts, toxicity
+from loreweave.llm import chat_format, decontaminate, language_model, licenses, packing, passage_trees, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -14,10 +14,12 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_best_fit_packing": packing.query,
     "op10_quality_rules": quality.query,
+    "op11_passage_trees": passage_trees.query,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
     "op8_license_scan": licenses.SQL,
+    "op11_passage_trees": passage_trees.SQL,
 }
