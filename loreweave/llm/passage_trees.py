@@ -110,8 +110,9 @@ def runs(p: B.Piece, h: Hashes, window: int) -> tuple[np.ndarray, np.ndarray, np
     return start[first], lead[start[first]], count, values[place[first]]
 
 
-def _words(text: bytes, bounds: np.ndarray) -> B.Piece:
+def _words(text: bytes, bounds: np.ndarray | None = None) -> B.Piece:
     p = B.Piece.__new__(B.Piece)
+    bounds = np.array([0, len(text)]) if bounds is None else bounds
     p.raw = p.data = np.frombuffer(text, np.uint8)
     p.bounds, p.n = bounds, len(bounds) - 1
     p.words(B.NOT_SPACE)
@@ -128,7 +129,7 @@ def _chunks(window: int):
             for rows, p in B.pieces(batch, "_text"):
                 owner += 1
                 p.words(B.NOT_SPACE)
-                first, lead, count, anchor = runs(p, Hashes(p), window)
+                keys, times = np.unique(runs(p, Hashes(p), window)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([owner], pa.int64()),
@@ -136,60 +137,59 @@ def _chunks(window: int):
                         pa.array([np.asarray(rows.column("_key")).astype(np.int64).tobytes()], pa.binary()),
                         pa.array([squeeze.compress(p.raw.tobytes())], pa.binary()),
                         pa.array([pack_sorted(p.bounds.astype(np.uint64))], pa.binary()),
-                        pa.array([pack_sorted(first.astype(np.uint64))], pa.binary()),
-                        pa.array([pack(lead)], pa.binary()),
-                        pa.array([pack(count)], pa.binary()),
-                        pa.array([anchor.tobytes()], pa.binary()),
-                        pa.array([len(anchor)], pa.int64()),
+                        pa.array([pack_sorted(keys)], pa.binary()),
+                        pa.array([pack(times)], pa.binary()),
+                        pa.array([len(keys)], pa.int64()),
                     ],
-                    ["owner", "rows", "ids", "blob", "bounds", "first", "lead", "count", "anchors", "n"],
+                    ["owner", "rows", "ids", "blob", "bounds", "keys", "times", "n"],
                 )
 
     return run
 
 
-def _asks(iterator):
-    for batch in iterator:
-        for owner, keys in zip(batch.column("owner").to_pylist(), batch.column("anchors").to_pylist()):
-            keys, n = np.unique(np.frombuffer(keys, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack(n)], pa.binary())], ["owner", "keys", "n"])
-
-
 def _gather(base: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of consecutive ranges, end to end."""
     upto = np.cumsum(sizes)
     return np.arange(upto[-1] if len(upto) else 0) + np.repeat(base - (upto - sizes), sizes)
 
 
-CANDIDATES = "owner long, first binary, count binary, member binary, least binary, d_lead binary, d_count binary, d_words binary, d_codes binary, d_prefix binary, n long"
+def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """Ranges of ``data``, a space after each."""
+    sizes = end - start + 1
+    out = data[np.minimum(_gather(start, sizes), len(data) - 1)]
+    out[np.cumsum(sizes) - 1] = 0x20
+    return out.tobytes()
+
+
+CANDIDATES = "owner long, first binary, count binary, member binary, least binary, d_lead binary, d_count binary, d_text binary, d_prefix binary, n long"
 
 
 def _candidates(window: int):
     """Of a chunk: its runs whose anchors occur again, and each distinct one with its words."""
 
     def run(iterator):
-        squeeze = zstandard.ZstdDecompressor()
+        squeeze, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in iterator:
             for row in rows_of(batch):
-                anchors = np.frombuffer(row["anchors"], np.uint64)
-                again = joined_totals(row["totals"], "n")[np.searchsorted(np.unique(anchors), anchors)] > 1
+                again = joined_totals(row["totals"], "times") > 1
                 if not again.any():
                     continue
-                first = unpack_sorted(row["first"]).astype(np.int64)[again]
-                lead, count = unpack(row["lead"]).astype(np.int64)[again], unpack(row["count"]).astype(np.int64)[again]
                 p = _words(squeeze.decompress(row["blob"]), unpack_sorted(row["bounds"]).astype(np.int64))
                 h = Hashes(p)
+                first, lead, count, anchor = runs(p, h, window)
+                some = again[np.searchsorted(np.unique(anchor), anchor)]
+                first, lead, count = first[some], lead[some], count[some]
                 key = np.frombuffer(row["ids"], np.int64)[p.doc[first]]
                 kind = B.mix(h.run(first, first + count + window - 1) + (lead * 4096 + count).astype(np.uint64))
                 _, at, member = np.unique(kind, return_index=True, return_inverse=True)
                 least = np.full(len(at), NO_KEY, np.int64)
                 np.minimum.at(least, member, key)
                 d_first, d_lead, d_count = first[at], lead[at], count[at]
-                words, codes = np.unique(h.words[_gather(d_first, d_count + window - 1)], return_inverse=True)
+                text = _slices(p.data, p.start[d_first], p.end[d_first + d_count + window - 2])
                 place = d_first + d_lead
                 prefix = np.stack([(h.run(place, place + n) >> np.uint64(32)).astype(np.uint32) for n in levels(window)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["owner"]], pa.int64()), *[pa.array([x], pa.binary()) for x in (pack_sorted(first.astype(np.uint64)), pack(count), pack(member), least.tobytes(), pack(d_lead), pack(d_count), words.tobytes(), pack(codes), prefix.tobytes())], pa.array([len(at)], pa.int64())],
+                    [pa.array([row["owner"]], pa.int64()), *[pa.array([x], pa.binary()) for x in (pack_sorted(first.astype(np.uint64)), pack(count), pack(member), pack(least.view(np.uint64)), pack(d_lead), pack(d_count), press.compress(text), prefix.tobytes())], pa.array([len(at)], pa.int64())],
                     [f.split()[0] for f in CANDIDATES.split(", ")],
                 )
 
@@ -223,22 +223,22 @@ def _deal(window: int, buckets: int, heavy: list[np.ndarray]):
     """A chunk's distinct suffixes by group."""
 
     def run(iterator):
+        squeeze, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in iterator:
             for row in rows_of(batch):
                 part = _parts(row["d_prefix"], window, buckets, heavy)
-                lead, count, least = unpack(row["d_lead"]).astype(np.int64), unpack(row["d_count"]).astype(np.int64), np.frombuffer(row["least"], np.int64)
-                words, codes = np.frombuffer(row["d_words"], np.uint64), unpack(row["d_codes"]).astype(np.int64)
-                sizes = count + window - 1
-                base, windows = np.cumsum(sizes) - sizes, np.cumsum(count) - count
+                lead, count, least = unpack(row["d_lead"]).astype(np.int64), unpack(row["d_count"]).astype(np.int64), unpack(row["least"]).view(np.int64)
+                p = _words(squeeze.decompress(row["d_text"]))
+                to_word = np.cumsum(count + window - 1)
+                start, end, windows = p.start[to_word - (count + window - 1)], p.end[to_word - 1], np.cumsum(count) - count
                 order = np.argsort(part, kind="stable")
                 used, cut = np.unique(part[order], return_index=True)
                 for to, some in zip(used.tolist(), np.split(order, cut[1:]) if len(order) else []):
                     if to < 0:
                         continue
-                    own, code = np.unique(codes[_gather(base[some], sizes[some])], return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([to], pa.int64()), pa.array([row["owner"]], pa.int64()), *[pa.array([x], pa.binary()) for x in (pack_sorted(windows[some].astype(np.uint64)), pack(lead[some]), pack(count[some]), least[some].tobytes(), words[own].tobytes(), pack(code))]],
-                        ["part", "owner", "at", "lead", "count", "least", "words", "codes"],
+                        [pa.array([to], pa.int64()), pa.array([row["owner"]], pa.int64()), *[pa.array([x], pa.binary()) for x in (pack_sorted(windows[some].astype(np.uint64)), pack(lead[some]), pack(count[some]), pack(least[some].view(np.uint64)), press.compress(_slices(p.data, start[some], end[some])))]],
+                        ["part", "owner", "at", "lead", "count", "least", "text"],
                     )
 
     return run
@@ -284,10 +284,10 @@ def _classes(window: int):
         rows = [unpack(x).astype(np.int64) for x in group.column("lead").to_pylist()]
         lead = np.concatenate(rows)
         count = np.concatenate([unpack(x) for x in group.column("count").to_pylist()]).astype(np.int64)
-        least = np.frombuffer(b"".join(group.column("least").to_pylist()), np.int64)
-        own = [np.frombuffer(x, np.uint64) for x in group.column("words").to_pylist()]
-        known = np.unique(np.concatenate(own))
-        codes = np.concatenate([(np.searchsorted(known, w) + 1)[unpack(c).astype(np.int64)] for w, c in zip(own, group.column("codes").to_pylist())]).astype(np.int32)
+        least = np.concatenate([unpack(x) for x in group.column("least").to_pylist()]).view(np.int64)
+        squeeze = zstandard.ZstdDecompressor()
+        known, codes = np.unique(np.concatenate([Hashes(_words(squeeze.decompress(x))).words for x in group.column("text").to_pylist()]), return_inverse=True)
+        codes = (codes + 1).astype(np.int32)
         sizes = count + window - 1
         base, windows = np.cumsum(sizes) - sizes, np.cumsum(count) - count
 
@@ -334,16 +334,17 @@ def _single(window: int, buckets: int, heavy: list[np.ndarray]):
     """The windows under anchors that are too frequent for one tree: a row for each, by the hash of its words."""
 
     def run(iterator):
+        squeeze = zstandard.ZstdDecompressor()
         for batch in iterator:
             for row in rows_of(batch):
                 some = np.flatnonzero(_parts(row["d_prefix"], window, buckets, heavy) < 0)
-                count, least = unpack(row["d_count"]).astype(np.int64), np.frombuffer(row["least"], np.int64)
-                words, codes = np.frombuffer(row["d_words"], np.uint64), unpack(row["d_codes"]).astype(np.int64)
+                count, least = unpack(row["d_count"]).astype(np.int64), unpack(row["least"]).view(np.int64)
+                words = Hashes(_words(squeeze.decompress(row["d_text"]))).words
                 sizes = count + window - 1
                 start = _gather((np.cumsum(sizes) - sizes)[some], count[some])
                 hashes = np.zeros(len(start), np.uint64)
                 for j in range(window):
-                    hashes = hashes * B.BASE + words[codes[start + j]]
+                    hashes = hashes * B.BASE + words[start + j]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(start), row["owner"], np.int64)), pa.array(_gather((np.cumsum(count) - count)[some], count[some])), pa.array((B.mix(hashes) >> np.uint64(2)).astype(np.int64)), pa.array(np.repeat(least[some], count[some]))],
                     ["owner", "window", "kind", "least"],
@@ -364,7 +365,7 @@ def removed_words(row: dict, p: B.Piece, window: int) -> np.ndarray:
     if row["member"] is None:
         return np.zeros(len(p.start), bool)
     first, count, member = unpack_sorted(row["first"]).astype(np.int64), unpack(row["count"]).astype(np.int64), unpack(row["member"]).astype(np.int64)
-    least, d_count = np.frombuffer(row["least"], np.int64), unpack(row["d_count"]).astype(np.int64)
+    least, d_count = unpack(row["least"]).view(np.int64), unpack(row["d_count"]).astype(np.int64)
     base = np.cumsum(d_count) - d_count
     total = int(d_count.sum())
     kind, space, lower = np.arange(total), np.full(total, -2, np.int64), np.zeros(total, bool)
@@ -418,17 +419,16 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     source = source.withColumn("_key", F.coalesce(F.col(f"_row.`{key}`").cast("long"), F.lit(NO_KEY)))
     kind = source.schema["_row"].dataType.simpleString()
     chunks = written(
-        source.mapInArrow(_chunks(window), f"owner long, rows array<{kind}>, ids binary, blob binary, bounds binary, first binary, lead binary, count binary, anchors binary, n long"), "chunks"
+        source.mapInArrow(_chunks(window), f"owner long, rows array<{kind}>, ids binary, blob binary, bounds binary, keys binary, times binary, n long"), "chunks"
     )
     n_anchors = chunks.agg(F.sum("n")).first()[0] or 0
-    asks = chunks.select("owner", "anchors").mapInArrow(_asks, "owner long, keys binary, n binary")
-    repeated = chunks.drop("rows", "n").join(totals(asks, ["n"], n_anchors), "owner")
+    repeated = chunks.select("owner", "ids", "blob", "bounds").join(totals(chunks.select("owner", "keys", "times"), ["times"], n_anchors), "owner")
     candidates = written(repeated.mapInArrow(_candidates(window), CANDIDATES), "candidates")
     release(spark)
 
     total = candidates.agg(F.sum("n")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(2 * partitions, 4 * total // group + 1)
+    buckets = max(partitions, 2 * total // group + 1)
     limit = min(group, max(64, 2 * total // buckets))
     sizes = candidates.select("d_prefix").mapInArrow(_sizes(window, buckets), "level int, bucket long, n long").groupBy("level", "bucket").agg(F.sum("n").alias("n"))
     heavy: list = [[] for _ in levels(window)]
@@ -436,13 +436,13 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
         heavy[level].append(bucket)
     heavy = [np.array(sorted(x), np.int64) for x in heavy]
 
-    dealt = candidates.select("owner", "least", "d_lead", "d_count", "d_words", "d_codes", "d_prefix").mapInArrow(
-        _deal(window, buckets, heavy), "part long, owner long, at binary, lead binary, count binary, least binary, words binary, codes binary"
+    dealt = candidates.select("owner", "least", "d_lead", "d_count", "d_text", "d_prefix").mapInArrow(
+        _deal(window, buckets, heavy), "part long, owner long, at binary, lead binary, count binary, least binary, text binary"
     )
     fields = "owner long, part long, windows binary, answers binary"
     found = dealt.repartition(max(partitions, total // group + 1), "part").groupBy("part").applyInArrow(_classes(window), fields)
     if len(heavy[-1]):
-        single = written(candidates.select("owner", "least", "d_count", "d_words", "d_codes", "d_prefix").mapInArrow(_single(window, buckets, heavy), "owner long, window long, kind long, least long"), "single")
+        single = written(candidates.select("owner", "least", "d_count", "d_text", "d_prefix").mapInArrow(_single(window, buckets, heavy), "owner long, window long, kind long, least long"), "single")
         low = single.groupBy("kind").agg(F.min("least").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
         answered = single.join(low, "kind").select("owner", "window", "kind", (F.col("low") < F.col("least")).alias("lower"))
         found = found.unionAll(answered.groupBy("owner").applyInArrow(_packed_single, fields))
