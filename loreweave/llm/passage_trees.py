@@ -446,6 +446,8 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
         low = single.groupBy("kind").agg(F.min("least").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
         answered = single.join(low, "kind").select("owner", "window", "kind", (F.col("low") < F.col("least")).alias("lower"))
         found = found.unionAll(answered.groupBy("owner").applyInArrow(_packed_single, fields))
+    found = written(found, "found")
+    release(spark)
     gathered = found.groupBy("owner").agg(F.collect_list(F.struct("part", "windows", "answers")).alias("found"))  # of one chunk: bounded by its words
     results = f"_row {kind}, n_words long, n_removed long, kept_sha256 string" + (", _kept string" if with_text else "")
     cut = (
