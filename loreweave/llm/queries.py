@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that it can express."""
 
 import corpus_pipeline
-from loreweave.llm import chat_format, decontaminate, language_model, licenses, packing, passage_trees, quality, simhash, suffix_dedup, token_counts, toxicity
+from loreweave.llm import chat_format, conversation_repair, decontaminate, language_model, licenses, packing, passage_trees, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
     "op10_quality_rules": quality.query,
     "op11_passage_trees": passage_trees.query,
+    "op12_conversation_repair": conversation_repair.query,
     "pipeline": corpus_pipeline.run,
 }
 
