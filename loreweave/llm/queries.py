@@ -1,7 +1,7 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that it can express."""
 
 import corpus_pipeline
-from loreweave.llm import chat_format, conversation_repair, decontaminate, language_model, licenses, packing, passage_trees, quality, simhash, suffix_dedup, token_counts, toxicity
+from loreweave.llm import chat_format, conversation_repair, decontaminate, hard_negatives, language_model, licenses, packing, passage_trees, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_quality_rules": quality.query,
     "op11_passage_trees": passage_trees.query,
     "op12_conversation_repair": conversation_repair.query,
+    "op13_hard_negatives": hard_negatives.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,4 +24,5 @@ ORACLE = {
     "op1_decontamination": decontaminate.SQL,
     "op8_license_scan": licenses.SQL,
     "op11_passage_trees": passage_trees.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
