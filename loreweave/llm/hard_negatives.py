@@ -288,7 +288,8 @@ def mine(
     source = rows.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{vector}`").isNotNull() & finite)
     items = source.select(F.coalesce(F.col(f"`{id}`").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(f"`{label}`").cast("string")).alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.coalesce(anchors, F.lit(False)).alias("is_anchor"))
     own = items.where("is_anchor").drop("is_anchor").where(F.col("id") != NO_ID)
-    items = items.drop("is_anchor")
+    # Small partitions are read together: each task gives its own best for every anchor.
+    items = items.drop("is_anchor").coalesce(max(spark.sparkContext.defaultParallelism, source.count() // ITEMS + 1))
 
     sample = own.orderBy(F.xxhash64("id", "vector")).limit(SAMPLE).toArrow()
     vectors = matrix(sample.column("vector").combine_chunks(), scale) if sample.num_rows else np.zeros((0, 1))
