@@ -275,6 +275,26 @@ def _assigned(at: np.ndarray, scale: float):
     return run
 
 
+def _together(blocks: list[tuple[int, int]], size: int) -> list[list[int]]:
+    """Small blocks in a row that make up one of ``size`` anchors at most."""
+    out, total = [], size
+    for number, n in blocks:
+        if total + n > size:
+            out.append([])
+            total = 0
+        out[-1].append(number)
+        total += n
+    return out
+
+
+def _read(rows: list) -> dict:
+    """The anchors of packed blocks."""
+    vectors = [np.frombuffer(r["vectors"], np.int32).reshape(r["n"], -1) for r in rows]
+    width = max(v.shape[1] for v in vectors)
+    kinds = {"id": np.int64, "label": np.int64, "cluster": np.int32}
+    return {k: np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in kinds.items()} | {"vectors": np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in vectors])}
+
+
 def mine(
     rows: DataFrame, anchors: Column, id: str = "vec_id", vector: str = "embedding", label: str = "label",
     positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, scale: float = SCALE, block: int = BLOCK,
@@ -300,20 +320,19 @@ def mine(
     result = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     path = f"{shared_dir(spark)}/loreweave-{uuid.uuid4().hex}/hard-negatives"
     spark.createDataFrame([], result).write.parquet(path)
-    for (number,) in packed.select("block").orderBy("block").collect():  # one number for each block
-        row = packed.where(F.col("block") == number).first()
-        a = {"id": np.frombuffer(row["id"], np.int64), "label": np.frombuffer(row["label"], np.int64), "cluster": np.frombuffer(row["cluster"], np.int32), "vectors": np.frombuffer(row["vectors"], np.int32).reshape(row["n"], -1)}
+    for numbers in _together(packed.select("block", "n").orderBy("block").collect(), block):  # two numbers for each block
+        a = _read(packed.where(F.col("block").isin(numbers)).orderBy("block").collect())
         sent = spark.sparkContext.broadcast(a)
         fields = "slot long, score long, id long"
-        found = _ranked(items.mapInArrow(_passed(sent, positives, None, scale), fields), positives).toArrow()  # ``positives`` of each anchor of the block
+        found = _ranked(items.mapInArrow(_passed(sent, positives, None, scale), fields), positives).toArrow()  # ``positives`` of each anchor that is sent
         slot, rank = np.asarray(found.column("slot")), np.asarray(found.column("rank")) - 1
-        positive, ids, known = (np.zeros((row["n"], positives), t) for t in (np.int64, np.int64, bool))
+        positive, ids, known = (np.zeros((len(a["id"]), positives), t) for t in (np.int64, np.int64, bool))
         positive[slot, rank], ids[slot, rank], known[slot, rank] = np.asarray(found.column("score")), np.asarray(found.column("id")), True
         limits = spark.sparkContext.broadcast({"positive": positive, "known": known, "low": low, "high": high})
         ranked = _ranked(items.mapInArrow(_passed(sent, negatives, limits, scale), fields), negatives)
         named = spark.createDataFrame(pa.table({"slot": np.arange(positive.size), "anchor_id": np.repeat(a["id"], positives), "positive_id": ids.ravel(), "positive_score": positive.ravel()}))
         real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-        ranked.join(F.broadcast(named), "slot").select(  # ``positives`` rows for each anchor of the block
+        ranked.join(F.broadcast(named), "slot").select(  # ``positives`` rows for each anchor that is sent
             "anchor_id", real("positive_id").alias("positive_id"), "rank", real("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
         ).write.mode("append").parquet(path)
         sent.unpersist()
