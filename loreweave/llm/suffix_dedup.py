@@ -12,8 +12,8 @@ repeated rows are documents of their own.
 2. The regions around such anchors go to shards by their least anchor; what would
    exceed a shard under one anchor is salted over several.
 3. A shard sorts the suffixes of its regions by external induction and gives
-   every ``length``-byte string a class.  Strings all of whose anchors occur in
-   several shards also meet over shards, once for each class and shard.
+   every ``length``-byte string a class.  Strings whose own anchor occurs in several
+   shards also meet over shards, once for each class and shard.
 4. Repeated starts return to their chunks, which give one row per document.
 """
 
@@ -161,7 +161,7 @@ def _classed(length: int):
         whole = np.frombuffer(b"".join(number), np.uint8)
         n = len(whole)
         valid = np.zeros(n, bool)
-        alone = np.zeros(n + 1, np.int32)  # anchors of this shard only
+        least = np.full(n, np.iinfo(np.uint64).max)
         multiple = np.zeros(n, bool)
         done = set()
         for i, g in enumerate(group.tolist()):
@@ -170,9 +170,7 @@ def _classed(length: int):
             done.add(g)
             valid[base[g] : base[g] + sizes[g] - length + 1] = True
             multiple[base[g] : base[g] + sizes[g]] = times[g] > 1
-            own = np.searchsorted(distinct, np.frombuffer(own_keys[i], np.uint64))
-            alone[base[g] + np.frombuffer(places[i], np.int32)[~wide[own]] + 1] = 1
-        np.cumsum(alone, out=alone)
+            least[base[g] + np.frombuffer(places[i], np.int32)] = np.frombuffer(own_keys[i], np.uint64)
         with S.Spool() as spool:
             at, kind = S.classes(whole, valid, length, spool)
         many = np.bincount(kind, minlength=1) > 1 if len(kind) else np.zeros(0, bool)
@@ -180,8 +178,12 @@ def _classed(length: int):
         repeated[at[many[kind]]] = True
         repeated |= multiple & valid
 
-        # One string of each class may ask the other shards, if none of its anchors is of this shard only.
-        ask = alone[at + length - gram + 1] == alone[at]
+        # One string of each class asks the other shards, if they have the anchor chosen for the string itself: its
+        # least.  Others inside it may have been chosen for neighbours, and its copies need not have them.
+        least = _slide(least, length - gram + 1, np.minimum)[at] if len(at) else least[:0]
+        known = np.minimum(np.searchsorted(distinct, least), len(distinct) - 1)
+        ask = (distinct[known] == least) & wide[known]
+        del least
         at, kind = at[ask], kind[ask]
         first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
         p = B.Piece.__new__(B.Piece)
@@ -292,8 +294,8 @@ def deduplicated(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     release(spark)
     sizes = regions.groupBy("hint").agg(F.sum("size").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    # At most total / shard_bytes anchors are that heavy: a few MB per 10 TB of regions.
-    heavy = F.broadcast(sizes.where(F.col("size") > shard_bytes).select("hint", F.ceil(F.col("size") / shard_bytes).alias("salts")))
+    # At most total / shard_bytes anchors are that heavy: Spark chooses the join by their number.
+    heavy = sizes.where(F.col("size") > shard_bytes).select("hint", F.ceil(F.col("size") / shard_bytes).alias("salts"))
     n_shards = int(total // shard_bytes) + 1
     salt = F.pmod(F.xxhash64("owner", "start"), F.coalesce("salts", F.lit(1)))
     sharded = regions.join(heavy, "hint", "left").withColumn("shard", F.pmod(F.xxhash64("hint", salt), F.lit(n_shards))).drop("hint", "salts", "size")
@@ -301,7 +303,7 @@ def deduplicated(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     shard_asks = sharded.select("shard", "keys").groupBy("shard").applyInArrow(_shard_asks, "owner long, keys binary, n binary")
     answers = totals(shard_asks, ["n"], n_anchors).withColumnRenamed("owner", "shard")
     fields = "owner long, keys binary, n binary, n_keys long, asked binary, member binary, repeated binary, base binary, sizes binary, chunks binary, starts binary"
-    classed = written(sharded.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_classed(length), fields), "classed")
+    classed = written(sharded.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_shards // 4), "shard").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(_classed(length), fields), "classed")
     release(spark)
     n_keys = classed.agg(F.sum("n_keys")).first()[0] or 0
     across = totals(classed.select("owner", "keys", "n"), ["n"], n_keys)

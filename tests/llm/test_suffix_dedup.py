@@ -62,6 +62,16 @@ def test_against_brute_force(spark):
     assert [r.text for r in kept] == [None if t is None else w[4].decode("utf-8", "ignore") for t, w in zip(texts, expected(texts, 400))]
 
 
+@pytest.mark.parametrize("shard_bytes", [8000, 1 << 20])
+def test_passages_over_many_shards(spark, shard_bytes):
+    """Thousands of passages, many of them hardly as long as a string, each time in other surroundings."""
+    rng = random.Random(11)
+    passages = [prose(rng, rng.randrange(14, 40), 5000) for _ in range(1200)]
+    texts = ["".join(prose(rng, rng.randrange(25), 5000) + rng.choice(passages) for _ in range(rng.randrange(1, 5))) + prose(rng, rng.randrange(25), 5000) for _ in range(1500)]
+    rows = suffix_dedup.deduplicated(frame(spark, texts), length=64, shard_bytes=shard_bytes).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == [w[:4] for w in expected(texts, 64)]
+
+
 def test_odd_tables(spark):
     docs = frame(spark, [None, "x" * 500, "y"], [None, 4, 4])
     assert {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicated(docs).collect()} == {(None, 0, 0), (4, 500, 500), (4, 1, 0)}
