@@ -50,7 +50,10 @@ _PRINTS = pa.struct(
 
 
 def _mapped(texts: pa.Array, look, type_: pa.DataType) -> pa.Array:
-    return pa.array([None if t is None else look(t) for t in texts.to_pylist()], type_)
+    """``look`` of each text; one look at texts alike."""
+    coded = texts.dictionary_encode()
+    found = pa.array([None if t is None else look(t) for t in coded.dictionary.to_pylist()], type_)
+    return found.take(coded.indices)
 
 
 @F.arrow_udf(from_arrow_type(_PRINTS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loreweave.functions import constants as K
 from loreweave.operators.domains import ENTRY, Domains
@@ -14,10 +14,14 @@ def changed_paths(changes: DataFrame) -> DataFrame:
     return clean.where(~F.startswith("path", F.lit(".")))
 
 
+def over_limit(n_files: str, limit: int = K.MAX_COMMIT_FILES) -> Column:
+    return F.col(n_files) > limit
+
+
 def commit_guard(changes: DataFrame, limit: int = K.MAX_COMMIT_FILES) -> DataFrame:
     """Every commit with its number of files and whether that is over the limit."""
     sizes = changes.groupBy("commit_id").agg(F.count("*").alias("n_files"))
-    return sizes.withColumn("over_limit", F.col("n_files") > limit)
+    return sizes.withColumn("over_limit", over_limit("n_files", limit))
 
 
 def deferred_commits(changes: DataFrame, limit: int = K.MAX_COMMIT_FILES) -> DataFrame:

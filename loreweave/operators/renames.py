@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loreweave.functions import pysyntax
 from loreweave.functions.text import extension
-from loreweave.operators.ordered import with_previous
+from loreweave.operators.ordered import with_previous, with_running
 from loreweave.operators.pycode import function_names
+from loreweave.session import materialise
 
 
 def parse_versions(versions: DataFrame) -> DataFrame:
@@ -106,6 +107,43 @@ def rename_map(found: DataFrame, order: list[str], keys: list[str] = []) -> Data
     return found.groupBy(*keys, "old_name").agg(F.max_by("new_name", F.struct(*order)).alias("new_name"))
 
 
+def rename_closure(found: DataFrame, order: str = "commit_no") -> DataFrame:
+    """Where the renames of several commits lead: ``order, old_name, new_name, hops``, a row per rename.
+
+    ``found`` has one ``new_name`` per ``order`` (a commit's place in time) and ``old_name``.
+    A rename is followed by the first one of its new name in a later commit, so a
+    name that is given back and used anew is followed as it was when the rename took
+    place, and cycles end with time.  Each rename points to its follower; pointers are
+    doubled until all point to an end, in as many rounds as the longest chain has
+    binary digits.
+    """
+    edges = materialise(found.select(F.col(order).alias("at"), "old_name", "new_name"))
+    # By falling time, arrivals at a name before departures of the same commit: the last departure seen is the follower.
+    events = edges.select(F.col("old_name").alias("name"), (-F.col("at")).alias("back"), F.lit(1).alias("leaves"), (-F.col("at")).alias("left"), F.lit(None).cast("string").alias("origin")).unionByName(
+        edges.select(F.col("new_name").alias("name"), (-F.col("at")).alias("back"), F.lit(0).alias("leaves"), F.lit(None).cast("long").alias("left"), F.col("old_name").alias("origin"))
+    )
+    seen = with_running(events, ["name"], "back", {"next": (F.col("left"), "max")}, ties=["leaves", "origin"])
+    follower = seen.where("leaves = 0").select((-F.col("back")).alias("at"), F.col("origin").alias("old_name"), (-F.col("next")).alias("next_at"))
+    # ``to_at, to_name``: the rename it points to, null at an end; ``new_name``: the name it leads to so far.
+    now = materialise(
+        edges.join(follower, ["at", "old_name"]).select(
+            "at", "old_name", "new_name", F.lit(1).cast("long").alias("hops"), F.col("next_at").alias("to_at"), F.when(F.col("next_at").isNotNull(), F.col("new_name")).alias("to_name")
+        )
+    )
+    while now.where("to_at is not null").limit(1).count():
+        onward = now.select(F.col("at").alias("to_at"), F.col("old_name").alias("to_name"), F.col("new_name").alias("_new"), F.col("hops").alias("_hops"), F.col("to_at").alias("_at"), F.col("to_name").alias("_name"))
+        moved = now.where("to_at is not null").join(onward, ["to_at", "to_name"]).select(
+            "at", "old_name", F.col("_new").alias("new_name"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_at").alias("to_at"), F.col("_name").alias("to_name")
+        )
+        now = materialise(now.where("to_at is null").unionByName(moved))
+    return now.select(F.col("at").alias(order), "old_name", "new_name", "hops")
+
+
+def first_renames(closure: DataFrame, order: str = "commit_no") -> DataFrame:
+    """Of each old name, where its first rename leads: the mapping for metadata older than all commits."""
+    return closure.groupBy("old_name").agg(F.min_by("new_name", order).alias("new_name"))
+
+
 def heal_dependencies(meta: DataFrame, mapping: DataFrame, keys: list[str] = []) -> DataFrame:
     """Metadata in which a dependency's whole name was renamed, with the new names.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,8 +13,9 @@ from loreweave.operators import (
     commits, domains as dom, history, impact, imports, jobs, renames, resolve, retrieval, routing, specs, tags, throttle, treemap,
 )
 from loreweave.plans import ask, onboard, post_commit
-from loreweave.session import materialise
+from loreweave.session import materialise, shared_dir
 from loreweave.sources import catalog, sink, tree
+from loreweave.sources.merge import BucketTable
 from loreweave.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,14 +113,18 @@ def version_pairs(i: Inputs) -> DataFrame:
 
 
 def spec_upsert(i: Inputs) -> DataFrame:
+    """Generated documents merged into a bucketed table of the stored ones."""
     found, deps = i.survey()
     text = specs.spec_markdown(found.domains, deps, found.features)
     old = i.documents.select(F.lit("r0").alias("repo_id"), "spec_id", F.lit(0).alias("domain_no"), F.lit(0).alias("part_no"), "markdown")
     placeholder = i.spark.sql("select 'r0' as repo_id, 'G0' as spec_id, 0 as domain_no, 0 as part_no, 'old' as markdown")
     new = text.select("repo_id", "spec_id", "domain_no", "part_no", "markdown")
-    return sink.upsert_parts(old.unionByName(placeholder), new, ["repo_id", "spec_id"], ["domain_no"], "part_no").select(
-        "repo_id", "spec_id", "part_no", F.md5("markdown").alias("markdown_md5")
-    )
+    key = ["repo_id", "spec_id"]
+    store = BucketTable(i.spark, f"{shared_dir(i.spark)}/loreweave-{uuid.uuid4().hex}", tuple(key), buckets=16)
+    fold = sink.winning_parts(key, ["domain_no"])
+    store.merge(old.unionByName(placeholder), 0, fold)
+    store.merge(new, 1, fold)
+    return store.read().select("repo_id", "spec_id", "part_no", F.md5("markdown").alias("markdown_md5"))
 
 
 def ignored_paths(i: Inputs) -> DataFrame:
@@ -269,6 +275,20 @@ def rename_map(i: Inputs) -> DataFrame:
     return renames.rename_map(found, ["commit_seq"], ["commit_no"])
 
 
+def heal_over_commits(i: Inputs) -> DataFrame:
+    """Metadata healed by all commits in their order."""
+    healed = renames.heal_dependencies(i.meta, renames.first_renames(renames.rename_closure(rename_map(i))))
+    return healed.select("spec_id", F.posexplode("dependencies").alias("dep_pos", "d")).select("spec_id", "dep_pos", "d.type", "d.name", "d.file")
+
+
+def post_commit_stream(i: Inputs) -> DataFrame:
+    """Changed paths and file versions as they arrive, in one stream."""
+    changes = i.view("v_changes").select(F.col("pos").alias("seq"), "commit_id", "path", F.lit(None).cast("string").alias("content"))
+    versions = i.view("v_file_versions").select(F.col("commit_seq").alias("seq"), F.concat(F.lit("V"), F.floor(F.col("commit_seq") / 20)).alias("commit_id"), "path", "content")
+    meta = materialise(i.meta)
+    return streams.replayed(changes.unionByName(versions), "seq", lambda source, out, state: post_commit.stream(source, meta, out, state, buckets=8), parts=2, result=post_commit.results)
+
+
 def _answers(i: Inputs) -> DataFrame:
     return ask.answer(i.view("v_intents"), THREAD, i.view("v_rules"), i.documents, i.meta, i.constitution)
 
@@ -278,7 +298,7 @@ def intent_history(i: Inputs) -> DataFrame:
 
 
 def history_pages(i: Inputs) -> DataFrame:
-    return history.history_pages(history.intent_history(i.view("v_intents"))).withColumn("intents", F.array_join("intents", "\x1f"))
+    return history.history_pages(history.intent_history(i.view("v_threads"))).withColumn("intents", F.array_join("intents", "\x1f"))
 
 
 _BY_INPUTS: dict[str, Callable[[Inputs], DataFrame]] = {
@@ -339,6 +359,8 @@ _BY_INPUTS: dict[str, Callable[[Inputs], DataFrame]] = {
     "commit_batches": lambda i: commits.commit_batches(commits.commit_window(i.view("v_commits"))),
     "digest_rollup": lambda i: commits.digest_rollup(commits.commit_batches(commits.commit_window(i.view("v_commits"))).select("repo_id", "batch_id")),
     "rename_map": rename_map,
+    "rename_closure": lambda i: renames.rename_closure(rename_map(i)),
+    "heal_over_commits": heal_over_commits,
     "tree_map": lambda i: treemap.tree_map(i.index, i.files),
     "payload": _answers,
     "job_current": lambda i: jobs.job_current(i.view("v_job_events")),
@@ -349,9 +371,10 @@ _BY_INPUTS: dict[str, Callable[[Inputs], DataFrame]] = {
     "tracked_files": lambda i: impact.tracked_files(i.meta),
     "post_commit": lambda i: post_commit.run(i.view("v_changes"), i.view("v_file_versions"), i.meta, F.concat(F.lit("V"), F.floor(F.col("commit_seq") / 20))),
     "throttle": lambda i: throttle.throttle(i.view("v_throttle_in")),
-    "throttle_stream": lambda i: streams.replayed(i.view("v_throttle_in"), "event_id", streams.throttle),
-    "job_stream": lambda i: streams.replayed(i.view("v_job_events"), "seq", streams.job_current),
-    "history_stream": lambda i: streams.replayed(i.view("v_intents"), "turn", streams.thread_turns),
+    "post_commit_stream": post_commit_stream,
+    "throttle_stream": lambda i: streams.throttled(i.view("v_throttle_in"), "event_id"),
+    "job_stream": lambda i: streams.replayed(i.view("v_job_events"), "seq", streams.job_current, result=streams.jobs_now),
+    "history_stream": lambda i: streams.replayed(i.view("v_threads"), "turn", streams.thread_turns).withColumn("recent", F.array_join("recent", "\x1f")),
 }
 
 

@@ -1,8 +1,8 @@
-"""Specification sink: last writer wins per identifier, in a versioned folder."""
+"""Specification sink: last writer wins per identifier."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def upsert(existing: DataFrame | None, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -25,30 +25,17 @@ def upsert_parts(existing: DataFrame | None, new: DataFrame, key: list[str], ord
     rows = new.withColumn("_new", F.lit(1))
     if existing is not None:
         rows = rows.unionByName(existing.withColumn("_new", F.lit(0)), allowMissingColumns=True)
-    won = rows.groupBy(*key).agg(F.max(F.struct("_new", *order)).alias("_won"))
-    kept = rows.join(won, key).where(F.struct("_new", *order) == F.col("_won"))
-    return kept.drop("_new", "_won")
-
-
-def write_version(df: DataFrame, folder: str, version: int) -> str:
-    """Write one version of a table; writing the same version again replaces it."""
-    path = f"{folder}/version={version:012d}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def latest_version(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The newest complete version of a table, null before the first."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    done = [
-        s.getPath().toString()
-        for s in fs.listStatus(fs_path)
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return spark.read.parquet(max(done)) if done else None
+    return winning_parts(key, order)(rows).drop("_new")
+
+
+def winning_parts(key: list[str], order: list[str]):
+    """All parts of the winning document of each key, new documents (``_new`` = 1) before old ones; a fold for merges."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        won = rows.groupBy(*key).agg(F.max(F.struct("_new", *order)).alias("_won"))
+        return rows.join(won, key).where(F.struct("_new", *order) == F.col("_won")).drop("_won")
+
+    return fold
 
 
 def write_documents(docs: DataFrame, path: str, id_col: str, body: str) -> None:

@@ -19,7 +19,7 @@ _history = """select thread_id, turn, intent, n_prior, n_prior // 64 as page_no,
  coalesce(string_agg(intent, chr(31)) over (partition by thread_id, n_prior // 64 order by turn rows between unbounded preceding and 1 preceding), '') as recent
  from (select *, row_number() over (partition by thread_id order by turn) - 1 as n_prior from v_intents)"""
 _pages = """select thread_id, n // 64 as page_no, string_agg(intent, chr(31) order by turn) as intents
- from (select *, row_number() over (partition by thread_id order by turn) - 1 as n from v_intents) group by all having count(*) = 64"""
+ from (select *, row_number() over (partition by thread_id order by turn) - 1 as n from v_threads) group by all having count(*) = 64"""
 
 
 def _parts(documents: str, out: str) -> str:
@@ -33,6 +33,17 @@ _current = """select job_id, arg_max(status, seq) as status, arg_max(progress, s
 _throttled = "select spec_id, event_id, sec as at from c_rec_accepted"
 _impacted = "select distinct c.commit_id, t.spec_id from v_changes c join c_tracked t on t.path = c.path"
 
+_post_commit = """select 'oversized' as kind, commit_id, '' as item from c_sizes where n_files > 50
+ union all select 'impacted', commit_id, spec_id from (select distinct c.commit_id, t.spec_id from v_changes c join c_tracked t on t.path = c.path)
+ union all select 'renamed', commit_id, old_name || '>' || new_name from (select 'V' || (commit_seq // 20) as commit_id, old_name, arg_max(new_name, commit_seq) as new_name from c_renames group by all)
+ union all select distinct 'healed', '', d.spec_id from (select distinct old_name from c_renames) r join c_dep_rows d on d.name = r.old_name"""
+_commit_map = "select commit_seq // 20 as commit_no, old_name, arg_max(new_name, commit_seq) as new_name from c_renames group by all"
+_closure = f"""select * from (with recursive e as ({_commit_map}),
+ nxt as (select a.commit_no, a.old_name, a.new_name, (select min(b.commit_no) from e b where b.old_name = a.new_name and b.commit_no > a.commit_no) as n from e a),
+ step as (select commit_no, old_name, new_name, n, 1 as hops from nxt
+  union all select s.commit_no, s.old_name, t.new_name, t.n, s.hops + 1 from step s join nxt t on t.commit_no = s.n and t.old_name = s.new_name)
+ select commit_no, old_name, new_name, hops from step where n is null)"""
+
 QUERIES = {
     # sources and sinks
     "source_scan": "select repo_id, path, length(content) as n_chars from c_walk",
@@ -144,7 +155,11 @@ QUERIES = {
     "commit_batches": "select repo_id, batch_id, digest from c_batches",
     "digest_rollup": _parts("""select repo_id, string_agg('Batch ' || (batch_id + 1) || ' Summary:' || chr(10) || 'Ollama is offline. Skipped batch summary.', chr(10) || chr(10) order by batch_id) as rollup
  from c_batches group by repo_id""", "rollup"),
-    "rename_map": "select commit_seq // 20 as commit_no, old_name, arg_max(new_name, commit_seq) as new_name from c_renames group by all",
+    "rename_map": _commit_map,
+    "rename_closure": _closure,
+    "heal_over_commits": f"""select * from (with c as ({_closure}), m as (select old_name, arg_min(new_name, commit_no) as new_name from c group by old_name)
+ select d.spec_id, d.i as dep_pos, d.type, coalesce(m.new_name, d.name) as name, d.file from c_dep_rows d left join m on m.old_name = d.name
+ where d.spec_id in (select d2.spec_id from c_dep_rows d2 join m on m.old_name = d2.name))""",
     "tree_map": _parts("""select repo_id, string_agg(line, chr(10) order by section, dirs, name) as tree from (
  select repo_id, 0 as section, dirs, '' as name, repeat('  ', len(dirs)) || '[Dir] ' || dirs[-1] || '/' as line from (
   select distinct repo_id, list_slice(dirs, 1, n) as dirs from (select repo_id, dirs, unnest(range(1, len(dirs) + 1)) as n from c_tree))
@@ -165,12 +180,10 @@ QUERIES = {
  * sum(success::int) over (partition by job_id order by pos rows unbounded preceding))::int as progress from v_domain_results""",
     "tracked_files": "select spec_id, path from c_tracked",
     # streams
-    "post_commit": """select 'oversized' as kind, commit_id, '' as item from c_sizes where n_files > 50
- union all select 'impacted', commit_id, spec_id from (select distinct c.commit_id, t.spec_id from v_changes c join c_tracked t on t.path = c.path)
- union all select 'renamed', commit_id, old_name || '>' || new_name from (select 'V' || (commit_seq // 20) as commit_id, old_name, arg_max(new_name, commit_seq) as new_name from c_renames group by all)
- union all select distinct 'healed', '', d.spec_id from (select distinct old_name from c_renames) r join c_dep_rows d on d.name = r.old_name""",
+    "post_commit": _post_commit,
+    "post_commit_stream": _post_commit,
     "throttle": _throttled,
     "throttle_stream": _throttled,
     "job_stream": _current,
-    "history_stream": "select thread_id, turn, intent, row_number() over (partition by thread_id order by turn) - 1 as n_prior from v_intents",
+    "history_stream": _history.replace("v_intents", "v_threads"),
 }
