@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loreweave.functions import constants as K
@@ -9,32 +13,57 @@ from loreweave.functions.text import unfence
 from loreweave.session import materialise
 from loreweave.sources.catalog import is_json
 
+BLOCK_CHARS = 16 << 20  # of patterns in one automaton
+
+# Executors get these functions with the task; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REPLY = (
     "implicated_features array<string>, clarification_needed boolean, clarification_message string"
 )
 
 
-def containing(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+def _searched(block):
+    """Rows with a text, each pattern of the block that occurs in it."""
+
+    def run(iterator):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for pattern in block.value:
+            automaton.add_word(pattern, pattern)
+        automaton.make_automaton()
+        for batch in iterator:
+            texts = batch.column("_text").to_pylist()
+            found = [list({p for _, p in automaton.iter(t)}) if t else [] for t in texts]
+            rows = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(rows), pa.array([p for f in found for p in f], pa.string())], ["_row", "_sub"])
+
+    return run
+
+
+def containing(texts: DataFrame, keys: list[str], text: str, patterns: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Texts joined with the patterns that occur in them, case-folded: ``keys`` and the patterns' columns.
 
-    All patterns begin with some gram of the shortest pattern's length, and a text
-    that has a pattern has its gram.  So texts and patterns meet on distinct grams of
-    one length, and only such pairs are searched: work grows with text length, never
-    with texts times patterns.
+    The distinct patterns make up one automaton, and every text passes it once:
+    work grows with the texts and with what is found, whatever the patterns have in
+    common.  Patterns of more than ``block_chars`` characters together are dealt to several
+    automata, each of which is one more pass.  Empty patterns match nothing.
     """
+    spark = texts.sparkSession
     wanted = patterns.withColumn("_sub", F.lower(pattern)).where("_sub <> ''")
-    size = F.coalesce(wanted.agg(F.min(F.length("_sub"))).scalar(), F.lit(1))
-    wanted = wanted.withColumn("_size", size).withColumn("_gram", F.substring("_sub", F.lit(1), F.col("_size"))).drop("_size")
-    folded = texts.select(*keys, F.lower(text).alias("_text"), size.alias("_size"))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.length("_text") - F.col("_size") + 1), lambda i: F.substring("_text", i, F.col("_size"))
-    )
-    long_enough = folded.where(F.length("_text") >= F.col("_size"))
-    known = long_enough.select(*keys, F.explode(F.array_distinct(grams)).alias("_gram")).join(
-        wanted.select("_gram").distinct(), "_gram", "left_semi"
-    )
-    likely = known.join(wanted, "_gram").drop("_gram")
-    return likely.join(folded.drop("_size"), keys).where(F.contains("_text", F.col("_sub"))).drop("_text", "_sub")
+    distinct = wanted.select("_sub").distinct()
+    total = distinct.agg(F.sum(F.length("_sub"))).first()[0] or 0
+    blocks = total // block_chars + 1
+    numbered = distinct.withColumn("_block", F.pmod(F.xxhash64("_sub"), F.lit(blocks)))
+    folded = texts.select(F.struct(*keys).alias("_row"), F.lower(text).alias("_text"))
+    kind = folded.schema["_row"].dataType.simpleString()
+    found = None
+    for b in range(blocks):
+        sent = spark.sparkContext.broadcast([r[0] for r in numbered.where(F.col("_block") == b).select("_sub").collect()])  # ``block_chars`` of them, about
+        some = folded.mapInArrow(_searched(sent), f"_row {kind}, _sub string")
+        found = some if found is None else found.unionAll(some)
+    return found.select("_row.*", "_sub").join(wanted, "_sub").drop("_sub")
 
 
 def _numbered(matches: DataFrame, keys: list[str], order: list[str], top: int | None) -> DataFrame:

@@ -150,3 +150,15 @@ def test_answers_with_replies(spark):
     assert "two" in got[1] and "two" in got[2] and got[3] == "Clarification Needed:\nwhich?"
     with pytest.raises(ValueError):
         throttle.throttle(actions(spark, []), gap=10, chunk=5)
+
+
+def test_routing_by_ids_with_one_prefix(spark):
+    """Ten thousand identifiers that begin alike: texts meet only those they name, in any number of automata."""
+    catalog = spark.range(10_000).select(F.concat(F.lit("SPEC-"), "id").alias("spec_id"))
+    intents = spark.createDataFrame([(i, f"what about spec-{i * 7} and Spec-{i}?" if i % 2 else "no spec- here" if i % 4 else None) for i in range(400)], "id int, intent string")
+    want = {(i, f"SPEC-{n[:k]}") for i in range(1, 400, 2) for n in (str(i * 7), str(i)) for k in range(1, len(n) + 1) if n[:k] == "0" or n[0] != "0"}
+    for chars in (routing.BLOCK_CHARS, 30_000):
+        found = routing.containing(intents, ["id"], "intent", catalog, "spec_id", chars)
+        assert {(r.id, r.spec_id) for r in found.collect()} == want
+        nodes = found._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in nodes and "NestedLoop" not in nodes
