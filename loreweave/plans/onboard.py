@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from loreweave.operators import domains as dom, resolve, specs
 from loreweave.session import materialise
@@ -42,6 +42,46 @@ def survey(files: DataFrame, candidates: Callable[[DataFrame], dom.Domains] | No
     return Survey(files, features, index, _written(specs.add_related(domains, features, index)))
 
 
+FEW_REPOS = 1_000  # named in the filter itself, which then reaches the scan
+
+
+def in_touched_repos(files: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files of the repositories that ``changed`` (``repo_id, path``) names."""
+    repos = changed.select("repo_id").distinct()
+    named = [r.repo_id for r in repos.limit(FEW_REPOS + 1).collect()]
+    if len(named) <= FEW_REPOS:
+        return files.where(F.col("repo_id").isin(named))
+    return files.join(repos, "repo_id", "left_semi")
+
+
+def domains_of(files: DataFrame) -> dom.Domains:
+    """Domains with their entry files only: paths and root manifests are read, no other text."""
+    return _written(dom.discover(files, materialise(resolve.file_index(files))))
+
+
+def touched_domains(files: DataFrame, changed: DataFrame) -> tuple[dom.Domains, DataFrame]:
+    """Domains of the touched repositories, and which of them hold or use a changed file: ``repo_id, domain_no``.
+
+    Texts are read for entry and related files of those repositories alone.  Import paths
+    are resolved once each, and only those that lead to a changed file go back to
+    the files that have them.
+    """
+    own = in_touched_repos(files, changed)
+    index = materialise(resolve.file_index(own))
+    found = _written(dom.discover(own, index))
+    members = own.join(found.files.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi")
+    features = materialise(specs.file_features(members))
+    whole = _written(specs.add_related(found, features, index))
+    more = whole.files.where(F.col("role") == dom.RELATED).select("repo_id", "path").distinct().join(features.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
+    features = features.unionByName(materialise(specs.file_features(own.join(more, ["repo_id", "path"], "left_semi"))))
+    edges = features.select("repo_id", "path", F.explode(F.array_distinct("imports.from")).alias("import_path"))
+    leads = resolve.resolve_specifiers(resolve.specifiers(edges), index).select("repo_id", "import_path", F.col("file").alias("path"))
+    leads = leads.join(changed.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_semi").select("repo_id", "import_path").distinct()
+    users = edges.join(leads, ["repo_id", "import_path"], "left_semi").select("repo_id", "path")
+    hit = users.unionByName(changed.select("repo_id", "path")).distinct()
+    return whole, whole.files.join(hit, ["repo_id", "path"], "left_semi").select("repo_id", "domain_no").distinct()
+
+
 def dependencies(found: Survey) -> DataFrame:
     """Dependency rows of every domain."""
     return materialise(specs.spec_dependencies(found.domains, found.features, found.index))

@@ -196,10 +196,9 @@ def impacted_specs(i: Inputs) -> DataFrame:
 
 
 def new_domains(i: Inputs) -> DataFrame:
-    found = onboard.survey(i.files).domains
-    only = dom.Domains(found.headers.where("repo_id = 'r0'"), found.files.where("repo_id = 'r0'"))
+    changed = materialise(i.changed_r0())
     known = i.documents.select("spec_id").unionAll(i.spark.sql("select * from values ('G0'), ('G10') as t(spec_id)"))
-    return impact.new_domains(only, known, i.changed_r0())
+    return impact.new_domains(onboard.domains_of(onboard.in_touched_repos(i.files, changed)), known, changed)
 
 
 def path_repair(i: Inputs) -> DataFrame:
@@ -232,14 +231,10 @@ def heal_dependencies(i: Inputs) -> DataFrame:
 
 
 def regen_plan(i: Inputs) -> DataFrame:
-    found, deps = i.survey()
-    changed = i.changed_r0()
-    members = found.domains.files.select("repo_id", "domain_no", "path")
-    used = deps.where("type <> 'external_package'").select("repo_id", "domain_no", F.col("file").alias("path"))
-    touched = members.unionAll(used).join(changed, ["repo_id", "path"], "left_semi").select("repo_id", "domain_no").distinct()
-    heads = found.domains.headers.where("spec_id <> 'G14'")
+    found, touched = onboard.touched_domains(i.files, materialise(i.changed_r0()))
+    heads = found.headers.where("spec_id <> 'G14'")
     hit = heads.join(touched, ["repo_id", "domain_no"], "left_semi").select("repo_id", "spec_id")
-    return impact.regen_plan(hit, found.domains).select("repo_id", "spec_id", "domain_no", "display_name", "framework")
+    return impact.regen_plan(hit, found).select("repo_id", "spec_id", "domain_no", "display_name", "framework")
 
 
 def spec_tags(i: Inputs) -> DataFrame:
