@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loreweave.functions import constants as K
+from loreweave.operators import skew
 from loreweave.operators.domains import ENTRY, Domains
 
 
@@ -41,12 +42,15 @@ def tracked_files(meta: DataFrame) -> DataFrame:
     return meta.select("spec_id", F.explode(every).alias("path")).distinct()
 
 
-def impacted_specs(changes: DataFrame, tracked: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Specifications whose files were changed, per ``keys`` (a commit) or overall."""
+def impacted_specs(changes: DataFrame, tracked: DataFrame, keys: list[str] = [], side: int = skew.PAIR_SIDE) -> DataFrame:
+    """Specifications whose files were changed, per ``keys`` (a commit) or overall.
+
+    A path that most commits touch, or most specifications refer to, is spread over tasks.
+    """
     paths = changes.select(*keys, "path").distinct()
     if not keys:
         return tracked.join(paths, "path", "left_semi").select("spec_id").distinct()
-    return paths.join(tracked, "path").select(*keys, "spec_id").distinct()
+    return skew.match(paths, tracked, ["path"], side).select(*keys, "spec_id").distinct()
 
 
 def new_domains(domains: Domains, catalog: DataFrame, changed: DataFrame) -> DataFrame:

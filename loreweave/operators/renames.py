@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loreweave.functions import pysyntax
 from loreweave.functions.text import extension
+from loreweave.operators import skew
 from loreweave.operators.ordered import with_previous, with_running
 from loreweave.operators.pycode import function_names
 from loreweave.session import materialise
@@ -151,9 +152,8 @@ def heal_dependencies(meta: DataFrame, mapping: DataFrame, keys: list[str] = [])
     dependency lists, so the size of the mapping does not matter.
     """
     deps = meta.select("spec_id", F.posexplode("dependencies").alias("pos", "dep"))
-    hits = deps.join(mapping, F.col("dep.name") == F.col("old_name")).select(
-        *keys, "spec_id", "pos", "new_name"
-    )
+    named = deps.select("spec_id", "pos", F.col("dep.name").alias("old_name"))
+    hits = skew.match(named, mapping, ["old_name"]).select(*keys, "spec_id", "pos", "new_name")
     changes = hits.groupBy(*keys, "spec_id").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "new_name"))).alias("changes")
     )

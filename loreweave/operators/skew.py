@@ -8,6 +8,7 @@ from loreweave.operators.ordered import numbered
 
 HOT_ROWS = 1_000_000   # a key with more rows than this is spread
 SALTS = 64
+PAIR_SIDE = 10_000     # rows of a key on either side of a join of many with many
 PART_LINES = 1_000     # lines of a document part
 
 
@@ -41,6 +42,29 @@ def lookup(
     return salted.drop("_heavy").join(copies.drop("_heavy"), [*on, "_salt"], "left").drop("_salt")
 
 
+def match(left: DataFrame, right: DataFrame, on: list[str], side: int = PAIR_SIDE) -> DataFrame:
+    """Inner join of many rows with many: of a key, a task sees ``side`` rows of either at most, or about.
+
+    Light keys are joined as usual.  The rows of a heavy one are dealt to a grid, left
+    rows by its lines and right rows by its columns, so every pair meets once.
+    """
+    n = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    m = right.groupBy(*on).agg(F.count("*").alias("_m"))
+    grid = n.join(m, on).where((F.col("_n") > side) | (F.col("_m") > side)).select(
+        *on, F.ceil(F.col("_n") / side).cast("int").alias("_lines"), F.ceil(F.col("_m") / side).cast("int").alias("_columns")
+    )
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """A row at one place of its side, and at every place of the other one."""
+        marked = rows.join(grid, on, "left")
+        place = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col(own)), F.lit(0)).cast("int")
+        every = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+        return marked.withColumn(own, place).withColumn(other, F.explode(every))
+
+    places = ["_lines", "_columns"]
+    return dealt(left, *places).join(dealt(right, *places[::-1]), [*on, *places]).drop(*places)
+
+
 def assemble(lines: DataFrame, keys: list[str], order: list[str], text: str, out: str, part_lines: int = PART_LINES) -> DataFrame:
     """Documents of each key in parts of ``part_lines`` lines: ``keys, part_no, out``.
 

@@ -162,3 +162,21 @@ def test_routing_by_ids_with_one_prefix(spark):
         assert {(r.id, r.spec_id) for r in found.collect()} == want
         nodes = found._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in nodes and "NestedLoop" not in nodes
+
+
+def test_a_path_in_every_commit(spark):
+    """One path that all commits touch and all specifications refer to: no task gets much more than others."""
+    hot = [(c, "hot.ts") for c in range(2000)] + [(c, f"p{c % 700}.ts") for c in range(2000)]
+    refs = [(f"S{i}", "hot.ts") for i in range(300)] + [(f"S{i}", f"p{i}.ts") for i in range(300)] + [("N", None)]
+    changes, tracked = spark.createDataFrame(hot, "commit_id int, path string"), spark.createDataFrame(refs, "spec_id string, path string")
+    want = {(c, s) for c, p in hot for s, q in refs if p == q}
+    assert {tuple(r) for r in impact.impacted_specs(changes, tracked, ["commit_id"], side=50).collect()} == want
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("false", "-1", "16")):
+            spark.conf.set(k, v)
+        sizes = [r.n for r in skew.match(changes, tracked, ["path"], 50).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == sum(p == q for _, p in hot for _, q in refs) and max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
