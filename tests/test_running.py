@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loreweave.operators import history, renames, throttle
 from loreweave.plans import post_commit
+from loreweave.sources import tree
 from loreweave.sources.merge import BucketTable, latest, once, total
 from loreweave.streaming import streams
 
@@ -163,3 +164,33 @@ def test_history_of_a_thread_longer_than_a_page(spark):
     got = streams.replayed(intents, "turn", streams.thread_turns, parts=3)
     assert rows_of(got.select("thread_id", "turn", "intent", "n_prior", "page_no", "recent")) == want
     assert Counter(r.thread_id for r in history.history_pages(history.intent_history(intents)).collect()) == {"t": 2}
+
+
+def test_large_files_in_parts(spark, tmp_path):
+    lines = [f"line {i} " + "é" * (i % 40) for i in range(60_000)]
+    texts = {"r1/big file.py": "\n".join(lines), "r1/src/small.py": "a\r\nb\n", "r2/crlf.ts": "\r\n".join(lines[:30_000]), "r2/node_modules/big.js": "\n".join(lines)}
+    for name, text in texts.items():
+        Path(tmp_path, name).parent.mkdir(parents=True, exist_ok=True)
+        Path(tmp_path, name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        parts = tree.read_source_parts(spark, str(tmp_path), max_bytes=100_000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {}
+    for r in sorted(parts, key=lambda r: r.start):
+        got.setdefault(f"{r.repo_id}/{r.path}", []).append(r.content)
+    assert {k: "\n".join(v) for k, v in got.items()} == {k: v for k, v in texts.items() if "node_modules" not in k}
+    assert len(got["r1/big file.py"]) > 3 and len(got["r1/src/small.py"]) == 1
+    assert {r.path: r.content for r in tree.read_source_tree(spark, str(tmp_path)).collect()}["big file.py"] == texts["r1/big file.py"]
+
+
+def test_changes_go_on_after_a_stop(spark, tmp_path):
+    meta = spark.createDataFrame([("S", ["a.ts"], [], [], [])], META)
+    for i in range(3):
+        spark.createDataFrame([(i, f"c{i}", "a.ts", None)], tree.RECORDS).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = post_commit.stream(tree.stream_changes(spark, f"{tmp_path}/in", 1), meta, f"{tmp_path}/out", f"{tmp_path}/state", buckets=2)
+        stream.awaitTermination()
+        assert sum(p.numInputRows for p in stream.recentProgress) == 1
+    assert rows_of(post_commit.results(spark, f"{tmp_path}/out")) == [("impacted", f"c{i}", "S") for i in range(3)]
