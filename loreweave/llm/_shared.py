@@ -6,10 +6,13 @@ A written table cuts the lineage: a lost executor costs only the reading of it.
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import uuid
 from functools import lru_cache
+from typing import Any, Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -36,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts a value; tasks call the result once.  Its classes travel with it: executors need not have the package."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished jobs.
 

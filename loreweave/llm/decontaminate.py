@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loreweave.llm import _bytes as B
-from loreweave.llm._shared import packed, table, unpacked, written
+from loreweave.llm._shared import packed, sent, table, unpacked, written
 
 WINDOW = 13
 SHINGLE = 5
@@ -119,10 +119,10 @@ def _shingled(batch, sizes):
 
 def count_shingles(texts: DataFrame, block: Block) -> dict[int, np.ndarray]:
     """How often the documents have each shingle of the block."""
-    shared = texts.sparkSession.sparkContext.broadcast(block.members)
+    shared = sent(texts.sparkSession, block.members)
 
     def run(iterator):
-        members = shared.value
+        members = shared()
         totals = {k: np.zeros(len(m.values), np.int64) for k, m in members.items()}
         for batch in iterator:
             for _, _, found in _shingled(batch, members):
@@ -163,11 +163,11 @@ def _occurrences(p: B.Piece, found, block: Block):
 
 def _pass(source: DataFrame, block: Block, last: bool) -> DataFrame:
     """Adds what the block's windows hit to ``_spans`` (pairs of word numbers) and ``_items``."""
-    shared = source.sparkSession.sparkContext.broadcast(block)
+    shared = sent(source.sparkSession, block)
     again = "_spans" in source.columns
 
     def run(iterator):
-        block = shared.value
+        block = shared()
         for batch in iterator:
             for rows, p, found in _shingled(batch, block.members):
                 spans: dict[int, set] = defaultdict(set)

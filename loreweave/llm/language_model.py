@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loreweave.llm import _bytes as B
 from loreweave.llm._meet import joined_totals, pack, pack_sorted, rows_of, totals, unpack, unpack_sorted
-from loreweave.llm._shared import crc_fold, packed, release, table, unpacked, written
+from loreweave.llm._shared import crc_fold, packed, release, sent, table, unpacked, written
 
 HELD_OUT = 1            # fold that is scored only
 DELETED = 0             # training fold that the weights are learned on
@@ -195,7 +195,7 @@ def learn(cells: dict[int, int], tokens: int, rest_tokens: int) -> Weights:
 
 def _scores(shared):
     def run(iterator):
-        w: Weights = shared.value
+        w: Weights = shared()
         for batch in iterator:
             for i, row in enumerate(rows_of(batch.drop_columns("rows"))):
                 c = Chunk(row)
@@ -246,7 +246,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[s
     weights = learn({r.cell: r.n for r in tallied.collect()}, *_token_totals(chunks))
     del tallied
     release(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = sent(docs.sparkSession, weights)
     scored = counted(chunks.drop("n")).mapInArrow(_scores(shared), f"_row {kind}, {FIELDS}")
     return unpacked(scored, keep, RESULTS)
 

@@ -7,17 +7,19 @@ has ``CONTAINMENT`` of the template's distinct words.
 Template words are ordered by how often the documents have them (one pass that
 counts only these).  A block that meets a template must have one of the template's
 rarest ``size - need + 1`` words, its prefix; texts without any are passed over.
-Where a text has a prefix word, only blocks around that word can qualify (position
-bound), and only the words of that neighbourhood are compared.  A phrase is met if
-its words stand in order without gaps: its prefix is its rarest word, which also
-fixes the place.  All of it is expressions over the row: no join shuffles a text and
-no word is hot.
+The prefixes of all templates are an index from word to templates; a text's prefix
+words are joined with it inside the row, so a pair of place and template arises only
+where they share a prefix word.  Of such a pair only blocks around the place can
+qualify (position bound), and only the words of that neighbourhood are compared.  A
+phrase is met if its words stand in order without gaps: its prefix is its rarest word,
+which also fixes the place.  Templates and index are one constant of the plan, which is as
+large for one template as for hundreds; no join shuffles a text and no word is hot.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,6 +39,17 @@ TEMPLATES = [
     ("subject to the terms of the mozilla public license", "mpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved", "all-rights-reserved"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "mit"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-2"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd"),
+    ("you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("you can redistribute it and or modify it under the terms of the gnu affero general public license", "agpl"),
+    ("this work is licensed under a creative commons attribution sharealike license", "cc-by-sa"),
+    ("the person who associated a work with this deed has dedicated the work to the public domain by waiving all rights", "cc0"),
+    ("made available under the terms of the eclipse public license", "epl"),
+    ("in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
 ]
 _NONE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -81,30 +94,50 @@ def prepare(templates, phrases, counts: dict[str, int], containment: float) -> t
     return out, exact
 
 
-def _places(words: Column, hits: Column, t: Template) -> Column:
-    """Starts (from 0) of a phrase."""
-    offset = t.words.index(t.prefix[0])
-    starts = F.transform(F.filter(hits, lambda h: h["w"] == t.prefix[0]), lambda h: h["i"] - F.lit(offset))
-    return F.filter(starts, lambda s: (s >= 0) & (s + t.width <= F.size(words)) & (F.slice(words, F.greatest(s, F.lit(0)) + 1, F.lit(t.width)) == _strings(t.words)))
+def _table(templates: list[Template]) -> tuple[Column, Column]:
+    """Templates as an array of structs, and the places in it by prefix word."""
+    fields = "array<struct<words:array<string>,label:string,need:int,width:int,offset:int>>"
+    rows = [{"words": t.words, "label": t.label, "need": t.need, "width": t.width, "offset": t.words.index(t.prefix[0])} for t in templates]
+    index: dict[str, list[int]] = {}
+    for k, t in enumerate(templates):
+        for w in t.prefix:
+            index.setdefault(w, []).append(k)
+    return F.from_json(F.lit(json.dumps(rows)), fields), F.from_json(F.lit(json.dumps(index)), "map<string,array<int>>")
 
 
-def _best(words: Column, hits: Column, t: Template) -> Column:
-    """Most distinct words of a template in a block around one of its prefix words, 0 if below what it needs."""
-    near = F.filter(hits, lambda h: F.array_contains(_strings(t.prefix), h["w"]))
-    around = F.transform(near, lambda h: F.slice(words, F.greatest(h["i"] - t.width + 2, F.lit(1)), F.lit(2 * t.width - 1) - F.greatest(F.lit(t.width - 1) - h["i"], F.lit(0))))
-    sizes = F.transform(
-        around,
-        lambda ws: F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - t.width + 1, F.lit(1))), lambda o: F.size(F.array_intersect(F.slice(ws, o, F.lit(t.width)), _strings(t.words))))),
-    )
-    most = F.coalesce(F.array_max(sizes), F.lit(0))
-    return F.when(most >= t.need, most / F.lit(len(t.words))).otherwise(F.lit(0.0))
+def _pairs(hits: Column, templates: Column, index: Column) -> Column:
+    """Places of prefix words, each with every template that has the word in its prefix."""
+    of_word = lambda h: F.coalesce(F.try_element_at(index, h["w"]), F.array().cast("array<int>"))
+    return F.flatten(F.transform(hits, lambda h: F.transform(of_word(h), lambda k: F.struct(h["i"].alias("i"), F.get(templates, k).alias("t")))))
+
+
+def _places(words: Column, pairs: Column) -> Column:
+    """(start from 0, label) of the phrases."""
+    starts = F.transform(pairs, lambda p: F.struct((p["i"] - p["t"]["offset"]).alias("s"), p["t"].alias("t")))
+    inside = F.filter(starts, lambda p: (p["s"] >= 0) & (p["s"] + p["t"]["width"] <= F.size(words)))
+    met = F.filter(inside, lambda p: F.slice(words, F.greatest(p["s"], F.lit(0)) + 1, p["t"]["width"]) == p["t"]["words"])
+    return F.transform(met, lambda p: F.struct(p["s"].alias("s"), p["t"]["label"].alias("label")))
+
+
+def _met(words: Column, pairs: Column) -> Column:
+    """(label, share) of the templates of which a block around a prefix word has as many distinct words as they need."""
+
+    def most(p: Column) -> Column:
+        width = p["t"]["width"]
+        around = F.slice(words, F.greatest(p["i"] - width + 2, F.lit(1)), 2 * width - 1 - F.greatest(width - 1 - p["i"], F.lit(0)))
+        blocks = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - width + 1, F.lit(1))), lambda o: F.size(F.array_intersect(F.slice(ws, o, width), p["t"]["words"])))
+        return F.get(F.transform(F.array(around), lambda ws: F.array_max(blocks(ws))), F.lit(0))
+
+    found = F.transform(pairs, lambda p: F.struct(p["t"]["label"].alias("label"), most(p).alias("most"), p["t"]["need"].alias("need"), F.size(p["t"]["words"]).alias("size")))
+    return F.transform(F.filter(found, lambda m: m["most"] >= m["need"]), lambda m: F.struct(m["label"].alias("label"), (m["most"] / m["size"]).alias("share")))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, templates=TEMPLATES, phrases=PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """Carried columns (all by default), ``n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     Base columns are about the phrases; ``labels`` also has those of the templates
-    met, and ``score`` is the largest containment among them (0 if none).
+    met, and ``score`` is the largest containment among all of them: 1 for a phrase,
+    0 if there are no labels.
     """
     keep = docs.columns if keep is None else keep
     source = packed(docs, text, keep).withColumn("_text", F.coalesce("_text", F.lit("")))
@@ -119,23 +152,18 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tem
     rows = rows.withColumn("_hits", F.filter(numbered, lambda h: F.array_contains(_strings(prefixes), h["w"])))
     rows = rows.withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")))
     words, hits = F.col("_words"), F.col("_hits")
-    rows = rows.select(
-        "_row", "n_words",
-        F.array(*[F.coalesce(_places(words, hits, t), F.array().cast("array<int>")) for t in exact]).alias("_places"),
-        F.array(*[F.coalesce(_best(words, hits, t), F.lit(0.0)) for t in near]).alias("_best"),
-    )
-    joined = lambda pairs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*pairs)))), ",")
-    base = [F.when(F.size(F.col("_places")[k]) > 0, F.lit(t.label)) for k, t in enumerate(exact)]
-    met = [F.when(F.col("_best")[k] > 0, F.lit(t.label)) for k, t in enumerate(near)]
-    starts = F.flatten("_places")
+    rows = rows.select("_row", "n_words", _places(words, _pairs(hits, *_table(exact))).alias("_places"), _met(words, _pairs(hits, *_table(near))).alias("_met"))
+    none = F.array().cast("array<string>")
+    base, met = F.coalesce(F.col("_places.label"), none), F.coalesce(F.col("_met.label"), none)
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     out = rows.select(
         "_row", "n_words",
-        F.size(starts).cast("long").alias("n_base"),
-        F.array_min(starts).cast("long").alias("first_word"),
-        F.array_max(starts).cast("long").alias("last_word"),
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min("_places.s").cast("long").alias("first_word"),
+        F.array_max("_places.s").cast("long").alias("last_word"),
         joined(base).alias("base_labels"),
-        joined([*base, *met]).alias("labels"),
-        F.coalesce(F.array_max("_best"), F.lit(0.0)).alias("score"),
+        joined(F.concat(base, met)).alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max("_met.share"), F.lit(0.0))).alias("score"),
     )
     return unpacked(out, keep, RESULTS)
 
@@ -162,7 +190,7 @@ named as (select r, string_agg(distinct label, ',' order by label) as labels fro
 named_base as (select r, string_agg(distinct label, ',' order by label) as base_labels from hit group by r),
 best as (select r, max(share) as score from near group by r)
 select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
- coalesce(labels, '') as labels, coalesce(score, 0.0) as score
+ coalesce(labels, '') as labels, case when n_base > 0 then 1.0 else coalesce(score, 0.0) end as score
 from d left join base using (r) left join named using (r) left join named_base using (r) left join best using (r)"""
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loreweave.llm import _bytes as B
-from loreweave.llm._shared import packed, table, unpacked
+from loreweave.llm._shared import packed, sent, table, unpacked
 
 BITS = 16
 SAMPLE_ROWS = 3000
@@ -190,11 +190,18 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         return None
     cols = [np.frombuffer(r.cols, np.int32) for r in rows]
     vals = [np.frombuffer(r.vals, np.float32) for r in rows]
-    order = np.argsort([zlib.crc32(c.tobytes()) for c in cols], kind="stable")
+    # Texts alike are in one fold: weights never see what the calibration is fitted on.
+    alike = {}
+    text_no = np.array([alike.setdefault(c.tobytes() + v.tobytes(), len(alike)) for c, v in zip(cols, vals)])
+    crc = np.array([zlib.crc32(t) for t in alike])
     fold = np.zeros(len(y), int)
     for cls in (0, 1):
-        mine = order[y[order] == cls]
-        fold[mine] = np.arange(len(mine)) % 3
+        own = np.unique(text_no[y == cls])
+        dealt = np.zeros(len(alike), int)
+        dealt[own[np.argsort(crc[own], kind="stable")]] = np.arange(len(own)) % 3
+        fold[y == cls] = dealt[text_no[y == cls]]
+    both = np.intersect1d(text_no[y == 0], text_no[y == 1])
+    fold[np.isin(text_no, both)] = 0  # with contradicting labels: for the weights only
 
     def part(which):
         ids = np.flatnonzero(which)
@@ -213,10 +220,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Carried columns (all by default), the statistics, ``base_failed``, ``probability`` and ``kept``."""
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     def run(iterator):
-        fitted = shared.value
+        fitted = shared()
         for batch in iterator:
             for rows, p in B.pieces(batch, "_text"):
                 found = statistics(p)

@@ -24,17 +24,19 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loreweave.llm import _bytes as B
 from loreweave.llm._components import components
 from loreweave.llm._shared import packed, release, table, unpacked, written
+from loreweave.operators import skew
 
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 BLOCK_BYTES = 48 << 20  # of packed keys in a task
 KEYS = 60               # at most so many keys for a fingerprint on average
+HOT_ROWS = 2048         # of a fingerprint or component, which are then dealt over tasks
 GOLAY = 0xAE3           # generator x^11+x^9+x^7+x^6+x^5+x+1
 
 
@@ -196,20 +198,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
 
 def grouped(found: DataFrame, key: str, max_bits: int = MAX_BITS) -> DataFrame:
     """Adds ``_component`` to a written table of ``_row`` and ``_fp``."""
-    roots = components(links(found, max_bits))
-    rooted = found.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp")).drop("root")
-    least = rooted.groupBy("_root").agg(F.min(F.col(f"_row.`{key}`")).alias("_component"))
-    return rooted.join(least, "_root")
+    counted = found.groupBy("_fp").agg(F.min(F.col(f"_row.`{key}`")).alias("_least"), F.count("*").alias("_n"))
+    least = _of_roots(counted, components(links(found, max_bits)), F.min("_least").alias("_component"))
+    return _spread(found, least, counted, "_fp", ["_row"], found.count())
+
+
+def _of_roots(counted: DataFrame, roots: DataFrame, value: Column) -> DataFrame:
+    """``_fp`` with an aggregate over the distinct fingerprints of its component."""
+    rooted = written(counted.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp")).drop("root", "_n"), "rooted")
+    sizes = rooted.groupBy("_root").agg(value, F.count("*").alias("_n"))
+    return _spread(rooted.select("_fp", "_root"), sizes.drop("_n"), sizes, "_root", ["_fp"], counted.count()).drop("_root")
+
+
+def _spread(rows: DataFrame, values: DataFrame, counted: DataFrame, on: str, by: list[str], n: int) -> DataFrame:
+    """``rows`` with the ``values`` of their key; keys with many of the ``n`` rows are dealt over tasks."""
+    heavy = skew.heavy_keys(counted, [on], "_n", max(HOT_ROWS, n >> 20))  # 2^20 keys at most
+    return skew.lookup(rows, values, [on], heavy, by)
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """One document of every component: the one with the smallest key (nulls last; of rows alike, any one)."""
     numbered = written(fingerprints(docs, text, docs.columns).withColumn("_no", F.monotonically_increasing_id()), "numbered")
     release(docs.sparkSession)
-    small = numbered.select(F.struct(F.col(f"_row.`{key}`")).alias("_row"), "_fp", "_no")
-    rooted = grouped(small, key, max_bits)
-    order = F.struct(F.col(f"_row.`{key}`").isNull(), F.col(f"_row.`{key}`"), F.col("_no"))
-    chosen = rooted.groupBy("_root").agg(F.min_by("_no", order).alias("_no")).select("_no")
+    order = F.struct(F.col(f"_row.`{key}`").isNull().alias("no_key"), F.col(f"_row.`{key}`").alias("key"), F.col("_no").alias("no"))
+    firsts = numbered.groupBy("_fp").agg(F.min(order).alias("_first"))  # of texts alike, then of their component
+    roots = components(links(numbered.select("_fp"), max_bits))
+    rooted = firsts.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp"))
+    chosen = rooted.groupBy("_root").agg(F.min("_first").alias("_first")).select(F.col("_first.no").alias("_no"))
     return numbered.join(chosen, "_no", "left_semi").select("_row.*")
 
 

@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loreweave.llm._shared import packed, table, unpacked
+from loreweave.llm._shared import packed, sent, table, unpacked
 
 SPACE = "▁"
 PENALTY = 10.0
@@ -105,10 +105,10 @@ _PARTS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 def count(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Carried columns (all by default), ``n_tokens`` and ``token_score``.  The vocabulary is broadcast: its size is fixed."""
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = sent(docs.sparkSession, vocabulary)
 
     def run(iterator):
-        counter = Counter(shared.value)
+        counter = Counter(shared())
         for batch in iterator:
             found = [counter.of(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], ["_row", "n_tokens", "token_score"])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loreweave.llm import _bytes as B
-from loreweave.llm._shared import crc_fold, packed, table, unpacked, written
+from loreweave.llm._shared import crc_fold, packed, sent, table, unpacked, written
 
 HELD_OUT = 0
 SAMPLE_ROWS = 8000
@@ -271,12 +271,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     clean_hits = _fuzzy_in_clean(sample.where("y = 0"), stems, fuzzy)
     fuzzy = {s for s in fuzzy if clean_hits.get(s, 0) <= MAX_CLEAN_SHARE * n_clean}
     built = automaton(stems, fuzzy)
-    shared = spark.sparkContext.broadcast(built)
+    shared = sent(spark, built)
 
     def run(iterator):
+        own = shared()
         for batch in iterator:
             for rows, p in B.pieces(batch, "_text", lower=True):
-                yield pa.RecordBatch.from_arrays([rows.column("y"), pa.array(features(p, shared.value).tolist(), pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([rows.column("y"), pa.array(features(p, own).tolist(), pa.list_(pa.float64()))], ["y", "x"])
 
     got = sample.select("y", "_text").mapInArrow(run, "y int, x array<double>").collect()
     return Model(built, stems, _fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.y for r in got], float)))
@@ -284,14 +285,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def _fuzzy_in_clean(clean: DataFrame, stems: dict[str, float], fuzzy: set[str]) -> dict[str, int]:
     """Clean texts with a misspelling of each stem."""
-    singles = clean.sparkSession.sparkContext.broadcast({s: automaton({s: stems[s]}, {s}) for s in sorted(fuzzy)})
+    singles = sent(clean.sparkSession, {s: automaton({s: stems[s]}, {s}) for s in sorted(fuzzy)})
 
     def run(iterator):
-        total = dict.fromkeys(singles.value, 0)
+        automata = singles()
+        total = dict.fromkeys(automata, 0)
         for batch in iterator:
             for _, p in B.pieces(batch, "_text", lower=True):
                 words, own = distinct_words(p)
-                for stem, a in singles.value.items():
+                for stem, a in automata.items():
                     total[stem] += len(np.unique(p.doc[run_words(a, words)[1][own] > 0]))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["stem", "n"])
 
@@ -301,10 +303,10 @@ def _fuzzy_in_clean(clean: DataFrame, stems: dict[str, float], fuzzy: set[str])
 def score(docs: DataFrame, model: Model | None, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """Carried columns (all by default), ``held_out, score, predicted``."""
     keep = docs.columns if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     def run(iterator):
-        m = shared.value
+        m = shared()
         for batch in iterator:
             for rows, p in B.pieces(batch, "_text", lower=True):
                 value = np.zeros(p.n) if m is None else 1 / (1 + np.exp(-np.clip(features(p, m.automaton) @ m.weights[:-1] + m.weights[-1], -30, 30)))

@@ -17,6 +17,7 @@ def expected(text):
         if most >= t.need:
             met.add(t.label)
             score = max(score, most / len(t.words))
+    score = 1.0 if hits else score
     base = {label for _, label in hits}
     places = [i for i, _ in hits]
     return len(words), len(hits), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | met)), score
