@@ -153,7 +153,8 @@ def heal_dependencies(meta: DataFrame, mapping: DataFrame, keys: list[str] = [])
     """
     deps = meta.select("spec_id", F.posexplode("dependencies").alias("pos", "dep"))
     named = deps.select("spec_id", "pos", F.col("dep.name").alias("old_name"))
-    hits = skew.match(named, mapping, ["old_name"]).select(*keys, "spec_id", "pos", "new_name")
+    # The mapping is the end of a long plan, and read for its counts and its rows.
+    hits = skew.match(named, materialise(mapping), ["old_name"]).select(*keys, "spec_id", "pos", "new_name")
     changes = hits.groupBy(*keys, "spec_id").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", "new_name"))).alias("changes")
     )
