@@ -111,7 +111,8 @@ def _grams(p: B.Piece):
 def _raw_scores(p: B.Piece, weights: np.ndarray) -> np.ndarray:
     total = np.zeros(p.n)
     for kind, (buckets, first) in enumerate(_grams(p)):
-        total += p.sums(weights[kind][buckets], first) / np.maximum(1, np.diff(first))
+        # In double precision, or a text's score would hang on the texts before it.
+        total += p.sums(weights[kind][buckets].astype(np.float64), first) / np.maximum(1, np.diff(first))
     return total
 
 
