@@ -71,3 +71,13 @@ def test_odd_tables(spark):
     assert sorted(r.n_tokens for r in lm.score(docs).collect()) == [1, 2, 3]
     assert lm.score(docs.limit(0)).count() == 0
     assert lm.score(docs.withColumnsRenamed({"lang": "score", "source": "_fold"})).columns.count("score") == 1
+
+
+def test_text_longer_than_a_chunk(spark):
+    long = "one two three four " * 500_000
+    assert len(long) > lm.CHUNK_BYTES
+    rows = {r.doc_id: r for r in lm.score(frame(spark, [None, "one two", long, "", "three"]), keep=["doc_id"]).collect()}
+    train = [i for i in range(5) if fold(i) != 1]
+    n_tokens = {0: 1, 1: 3, 2: 2_000_001, 3: 1, 4: 2}
+    assert {i: r.n_tokens for i, r in rows.items()} == n_tokens
+    assert rows[2].train_tokens == sum(n_tokens[i] for i in train) and all(math.isfinite(r.score) and r.score <= 0 for r in rows.values())

@@ -43,3 +43,11 @@ def test_odd_tables(spark):
     assert sorted(r.n_base for r in licenses.scan(docs).collect()) == [0, 1, 1]
     assert licenses.scan(docs.limit(0)).count() == 0
     assert licenses.scan(docs.withColumnsRenamed({"lang": "labels", "source": "_hits"})).columns.count("labels") == 1
+
+
+def test_very_long_text(spark):
+    n = 400_000
+    texts = ["word " * n + "Under the MIT License. " + "word " * n + "cc by nc", "word " * n]
+    first, second = licenses.scan(frame(spark, texts), keep=["doc_id"]).orderBy("doc_id").collect()
+    assert (first.n_words, first.n_base, first.first_word, first.last_word, first.base_labels) == (2 * n + 7, 2, n, 2 * n + 4, "cc-by-nc,mit")
+    assert (second.n_words, second.n_base, second.first_word, second.labels, second.score) == (n, 0, None, "", 0.0)

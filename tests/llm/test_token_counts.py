@@ -44,3 +44,10 @@ def test_odd_tables(spark, public):
     assert sorted(r.n_tokens for r in tc.count(docs, public).collect()) == [0, 0, 1]
     assert tc.count(docs.limit(0), public).count() == 0
     assert tc.count(docs.withColumnsRenamed({"lang": "n_tokens", "source": "_row"}), public).columns.count("n_tokens") == 1
+
+
+def test_very_long_text(spark, public):
+    once = tc.count(frame(spark, ["the quick brown fox\n"]), public).first().n_tokens
+    row = tc.count(frame(spark, ["the quick brown fox\n" * 300_000]), public, keep=["doc_id"]).first()
+    own = tc.count(frame(spark, ["the quick brown fox\n" * 2]), public).first().n_tokens - once
+    assert row.n_tokens == once + 299_999 * own

@@ -1,6 +1,9 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 
 from loreweave.llm import toxicity
@@ -58,6 +61,37 @@ def test_held_out_accuracy(spark):
     assert toxicity.train(docs, table.where("toxic = 0")) is None
 
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_score(text, weights, fuzzy, fitted):
+    """Every word against every stem, every hit against every other."""
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    hits = []
+    for at, m in enumerate(WORD.finditer(text)):
+        exact = max([v for s, v in weights.items() if m[0].startswith(s)], default=0)
+        near = 0 if exact else max([weights[s] for s in fuzzy if any(distance(m[0][:k], s) <= 1 for k in range(1, len(m[0]) + 1))], default=0)
+        if exact or near:
+            hits.append((at, exact, near, sum(c in map(chr, toxicity.QUOTES) for c in text[: m.start()]) % 2 == 1))
+    x = [0.0] * toxicity.N_FEATURES
+    if hits:
+        x = [math.log1p(sum(h[kind] for h in hits if h[3] == quoted)) for kind in (1, 2) for quoted in (False, True)]
+        x += [math.log1p(max(sum(e + n for at, e, n, _ in hits if abs(at - mid) <= toxicity.WINDOW) for mid, *_ in hits)), 1.0]
+    return 1 / (1 + math.exp(-min(30, max(-30, sum(a * b for a, b in zip(x, fitted)) + fitted[-1]))))
+
+
+def test_score_against_plain_version(spark):
+    rng = random.Random(9)
+    weights, fuzzy = {"blorg": 3.0, "snidge": 4.5, "grum": 2.6}, {"blorg", "snidge"}
+    fitted = np.array([1.1, -0.7, 0.6, -0.4, 0.8, 0.3, -3.0])
+    model = toxicity.Model(toxicity.automaton(weights, fuzzy), weights, fitted)
+    words = ["blorgs", "BLORG", "blrg", "bloorg", "snidge", "snidgy", "grump", "grm", "xgrum", "\"", "“", "”", "«", "fine", "day", "é"]
+    texts = ODD + [rng.choice([" ", "-", " , "]).join(rng.choice([rng.choice(words), "plain", "talk", "of"]) for _ in range(rng.randrange(1, 80))) for _ in range(120)]
+    rows = toxicity.score(frame(spark, texts), model).orderBy("doc_id").collect()
+    want = [plain_score(t, weights, fuzzy, fitted) for t in texts]
+    assert all(math.isclose(r.score, w, rel_tol=1e-9) for r, w in zip(rows, want)) and len(set(want)) > 50
+
+
 def test_quotation_weighs_less(spark):
     rng = random.Random(3)
     texts = [prose(rng, 40).replace("\n", " ") + (f' he said "you {"blorgface"} there" ' if i % 3 == 1 else " you blorgface there " if i % 3 == 2 else "") for i in range(300)]
