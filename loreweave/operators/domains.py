@@ -27,6 +27,7 @@ from loreweave.functions.text import (
 )
 from loreweave.operators.ordered import numbered
 from loreweave.operators.resolve import directories
+from loreweave.session import materialise
 
 FRAMEWORKS_PYTHON = ["fastapi", "flask", "python"]
 ENTRY, RELATED = "entry", "related"
@@ -40,8 +41,11 @@ class Domains:
     files: DataFrame
 
 
-def detect_framework(files: DataFrame) -> DataFrame:
-    """One framework per repository from its root manifests: ``repo_id, framework``."""
+def detect_framework(files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """One framework per repository from its root manifests: ``repo_id, framework``.
+
+    ``repos`` lists the repositories once each, if a narrower table than ``files`` has them.
+    """
     manifests = ["next.config.ts", "next.config.js", "next.config.mjs"]
     path, text = F.col("path"), F.col("content")
     deps = "map<string,string>"
@@ -55,7 +59,7 @@ def detect_framework(files: DataFrame) -> DataFrame:
 
     # The text is read for root manifests only; every repository is listed from its key alone.
     known = [*manifests, "package.json", "requirements.txt", "pyproject.toml"]
-    repos = files.select("repo_id").distinct()
+    repos = files.select("repo_id").distinct() if repos is None else repos
     rows = files.where(path.isin(known))
     flags = rows.groupBy("repo_id").agg(
         F.max(path.isin(manifests)).alias("next_config"),
@@ -277,7 +281,8 @@ def discover(
     files: DataFrame, index: DataFrame, candidates: Domains | None = None, cap: int | None = None
 ) -> Domains:
     """Validated candidates where a repository has some, else the rules of its framework."""
-    frameworks = detect_framework(files)
+    # One row per repository, asked for by the headers and the files of every rule.
+    frameworks = materialise(detect_framework(files, index.select("repo_id").distinct()))
     headers, members = None, None
     for found, kinds in (
         (domains_nextjs(index, cap), ["nextjs"]),

@@ -343,7 +343,7 @@ _BY_INPUTS: dict[str, Callable[[Inputs], DataFrame]] = {
     "domains_nextjs": lambda i: _domain_rows(dom.domains_nextjs(i.index)),
     "domains_python": lambda i: _domain_rows(dom.domains_python(i.index)),
     "domains_generic": lambda i: _domain_rows(dom.domains_generic(i.index)),
-    "domains": lambda i: _domain_rows(dom.discover(i.files, i.index), "framework"),
+    "domains": lambda i: _domain_rows(dom.discover(i.files, materialise(i.index)), "framework"),
     "spec_dependencies": lambda i: i.survey()[1],
     "spec_tags": spec_tags,
     "spec_files": lambda i: specs.spec_files(onboard.survey(i.files).domains),
