@@ -87,7 +87,8 @@ class BucketTable:
             if old is not None:
                 both = both.unionByName(old.withColumn("_new", F.lit(0)))
             folded = fold(both).drop("_new").withColumn("bucket", self._bucket())
-            folded.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/data/at={version}")
+            # A large bucket is written by several tasks, however few buckets there are.
+            folded.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/data/at={version}")
             now = self.manifest(version) | {b: version for b in touched}
             listed = self.spark.createDataFrame([(b, at, version) for b, at in sorted(now.items())], MANIFEST)
             listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/version={version}")
