@@ -110,7 +110,7 @@ def with_prefixes(block: Block, counts: dict[int, np.ndarray]) -> Block:
 
 
 def _shingled(batch, sizes):
-    for rows, p in B.pieces(batch, "_text", lower=True):
+    for rows, p in B.pieces(batch, "_text", lower=True, limit=B.SMALL):
         p.words(B.ALNUM)
         p.prefix()
         words = p.span(p.start, p.end)

@@ -119,7 +119,7 @@ def _raw_scores(p: B.Piece, weights: np.ndarray) -> np.ndarray:
 def _features(iterator):
     """Labelled texts as (row, column, value) lists of mean n-gram counts."""
     for batch in iterator:
-        for rows, p in B.pieces(batch, "_text"):
+        for rows, p in B.pieces(batch, "_text", limit=B.SMALL):
             p.words(B.NOT_SPACE)
             p.prefix()
             p.hashes = p.span(p.start, p.end)
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
     def run(iterator):
         fitted = shared()
         for batch in iterator:
-            for rows, p in B.pieces(batch, "_text"):
+            for rows, p in B.pieces(batch, "_text", limit=B.SMALL):
                 found = statistics(p)
                 failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
                 prob = np.ones(p.n) if fitted is None else _sigmoid(fitted.a * _raw_scores(p, fitted.weights) + fitted.b)

@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from loreweave.llm import suffix_array, suffix_dedup
+from loreweave.llm import _bytes, suffix_array, suffix_dedup
 from tests.llm.cases import corpus, frame, prose
 
 
@@ -78,3 +80,50 @@ def test_odd_tables(spark):
     assert suffix_dedup.deduplicated(docs.limit(0)).count() == 0
     clash = docs.withColumnsRenamed({"lang": "n_bytes", "source": "owner"})
     assert suffix_dedup.deduplicated(clash).columns.count("n_bytes") == 1
+
+
+def test_anchors_need_little_memory(monkeypatch):
+    """By blocks, the anchors of the whole piece; the memory follows the block, not the piece."""
+    rng = random.Random(5)
+    texts = ["", *[prose(rng, rng.randrange(90)) for _ in range(150)], "", "ab" * 300, prose(rng, 4000, 5000), ""]
+    piece = _bytes.Piece(pa.array(texts), False)
+    for length in (16, 48, 400):
+        gram = suffix_dedup.gram_of(length)
+        piece.prefix()
+        at = np.arange(len(piece.data) - gram + 1)
+        values = piece.span(at, at + gram) | np.uint64(1)
+        want = set()
+        for a, b in zip(piece.bounds[:-1].tolist(), piece.bounds[1:].tolist()):
+            for i in range(a, b - length + 1):
+                window = values[i : i + length - gram + 1]
+                want.update((i + np.flatnonzero(window == window.min())).tolist())
+        for block in (1 << 17, 1000, 7):
+            monkeypatch.setattr(suffix_dedup, "BLOCK", block, raising=False)
+            places, keys = suffix_dedup.anchors(piece, length)
+            assert places.tolist() == sorted(want) and (keys == values[places]).all()
+    monkeypatch.undo()
+    large = _bytes.Piece(pa.array(["".join(rng.choices("abcdefgh ", k=3 << 20))]), False)
+    tracemalloc.start()
+    suffix_dedup.anchors(large, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(large.data)
+
+
+def test_trimmed_texts_travel_once(spark, monkeypatch):
+    tables = {}
+
+    def kept(df, name, write=suffix_dedup.written):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    texts = inputs()
+    rows = suffix_dedup.trimmed(frame(spark, texts)).collect()
+    assert "text" not in tables["chunks"].schema["rows"].dataType.simpleString()
+    assert {r.doc_id: r.text for r in rows} == {i: None if t is None else w[4].decode("utf-8", "ignore") for i, (t, w) in enumerate(zip(texts, expected(texts, 400)))}
+    broken = spark.sql("select 1L doc_id, cast(unhex('61FF62') as string) text, 7 n_chars union all select null, null, null union all select 2L, repeat('y', 500), 500")
+    got = suffix_dedup.trimmed(broken)
+    assert got.columns == broken.columns
+    assert {(r.doc_id, r.h, r.n_chars) for r in got.selectExpr("doc_id", "hex(text) h", "n_chars").collect()} == {(1, "61FF62", 7), (None, None, None), (2, "", 0)}
+    assert [r.text for r in suffix_dedup.trimmed(broken.select("text").where("doc_id = 2")).collect()] == [""]
