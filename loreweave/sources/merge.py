@@ -4,7 +4,7 @@
 them, and ``<folder>/manifest/version=<version>`` which version of each bucket counts: one
 file, there or not, so readers see whole versions only, also while one is being written.
 Writing a version again, after a failure, starts from what stood before it and
-replaces what was left of it.
+replaces what was left of it.  ``<folder>/staged`` has the new rows of the last merge.
 """
 
 from __future__ import annotations
@@ -77,21 +77,21 @@ class BucketTable:
         ``fold`` keeps a row of every key.  Versions grow, and a version is written by one
         writer at a time.
         """
-        rows = rows.persist()
-        try:
-            touched = {r.b for r in rows.select(self._bucket().alias("b")).distinct().collect()}
-            if not touched:
-                return touched
-            old = self.read(version, touched)
-            both = rows.withColumn("_new", F.lit(1))
-            if old is not None:
-                both = both.unionByName(old.withColumn("_new", F.lit(0)))
-            folded = fold(both).drop("_new").withColumn("bucket", self._bucket())
-            # A large bucket is written by several tasks, however few buckets there are.
-            folded.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.folder}/data/at={version}")
-            now = self.manifest(version) | {b: version for b in touched}
-            listed = self.spark.createDataFrame([(b, at, version) for b, at in sorted(now.items())], MANIFEST)
-            listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/version={version}")
+        # Written, not cached: it is read for the buckets and for the fold, and may be larger than memory.
+        staged, schema = f"{self.folder}/staged", rows.schema
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(staged)
+        rows = self.spark.read.schema(schema).parquet(staged)
+        touched = {r.b for r in rows.select(self._bucket().alias("b")).distinct().collect()}
+        if not touched:
             return touched
-        finally:
-            rows.unpersist()
+        old = self.read(version, touched)
+        both = rows.withColumn("_new", F.lit(1))
+        if old is not None:
+            both = both.unionByName(old.withColumn("_new", F.lit(0)))
+        # The fold deals rows by their keys, so every task has rows of any bucket: a large one is written by several.
+        folded = fold(both).drop("_new").withColumn("bucket", self._bucket())
+        folded.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/data/at={version}")
+        now = self.manifest(version) | {b: version for b in touched}
+        listed = self.spark.createDataFrame([(b, at, version) for b, at in sorted(now.items())], MANIFEST)
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/version={version}")
+        return touched
