@@ -4,7 +4,8 @@
 them, and ``<folder>/manifest/version=<version>`` which version of each bucket counts: one
 file, there or not, so readers see whole versions only, also while one is being written.
 Writing a version again, after a failure, starts from what stood before it and
-replaces what was left of it.  ``<folder>/staged`` has the new rows of the last merge.
+replaces what was left of it.  ``<folder>/staged`` has the new rows of the last merge,
+``<folder>/values`` their values of one column.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Fold = Callable[[DataFrame], DataFrame]
 MANIFEST = "bucket int, at long, version long"
+FEW_VALUES = 1_000_000  # short values that are sent to every executor
 
 
 def latest(key: list[str], order: list[str]) -> Fold:
@@ -71,11 +73,23 @@ class BucketTable:
         paths = [f"{self.folder}/data/at={at}/bucket={b}" for b, at in sorted(self.manifest(before).items()) if only is None or b in only]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def merge(self, rows: DataFrame, version: int, fold: Fold) -> set[int]:
+    def _apart(self, rows: DataFrame, old: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """``old`` by whether a row of ``rows`` has its value of ``column``; all of it if they have too many values to be sent."""
+        values = rows.select(F.col(column).alias("_value")).distinct()
+        path = f"{self.folder}/values"
+        values.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        values = self.spark.read.schema(values.schema).parquet(path)
+        if values.count() > FEW_VALUES:
+            return old, old.limit(0)
+        same, values = F.col(column).eqNullSafe(F.col("_value")), F.broadcast(values)
+        return old.join(values, same, "left_semi"), old.join(values, same, "left_anti")
+
+    def merge(self, rows: DataFrame, version: int, fold: Fold, within: str | None = None) -> set[int]:
         """Folds ``rows`` (``_new`` = 1) and the rows of their buckets (0) into a new version; returns the buckets.
 
         ``fold`` keeps a row of every key.  Versions grow, and a version is written by one
-        writer at a time.
+        writer at a time.  If the rows of few values of ``within``, a column of the key, come
+        together, name it: old rows of other values are written anew, but not dealt for the fold.
         """
         # Written, not cached: it is read for the buckets and for the fold, and may be larger than memory.
         staged, schema = f"{self.folder}/staged", rows.schema
@@ -85,11 +99,16 @@ class BucketTable:
         if not touched:
             return touched
         old = self.read(version, touched)
-        both = rows.withColumn("_new", F.lit(1))
+        both, others = rows.withColumn("_new", F.lit(1)), None
         if old is not None:
+            if within is not None:
+                old, others = self._apart(rows, old, within)
             both = both.unionByName(old.withColumn("_new", F.lit(0)))
         # The fold deals rows by their keys, so every task has rows of any bucket: a large one is written by several.
-        folded = fold(both).drop("_new").withColumn("bucket", self._bucket())
+        folded = fold(both).drop("_new")
+        if others is not None:
+            folded = folded.unionByName(others)
+        folded = folded.withColumn("bucket", self._bucket())
         folded.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/data/at={version}")
         now = self.manifest(version) | {b: version for b in touched}
         listed = self.spark.createDataFrame([(b, at, version) for b, at in sorted(now.items())], MANIFEST)
