@@ -45,12 +45,16 @@ def once(key: list[str]) -> Fold:
 
 @dataclass(frozen=True)
 class BucketTable:
-    """``key`` columns choose the bucket; ``buckets`` stays as it is for the life of the table."""
+    """``key`` columns choose the bucket; ``buckets`` stays as it is for the life of the table.
+
+    ``within`` may name a column of the key that few values of come in one merge.
+    """
 
     spark: SparkSession
     folder: str
     key: tuple[str, ...]
     buckets: int = 64
+    within: str | None = None
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
@@ -84,12 +88,12 @@ class BucketTable:
         same, values = F.col(column).eqNullSafe(F.col("_value")), F.broadcast(values)
         return old.join(values, same, "left_semi"), old.join(values, same, "left_anti")
 
-    def merge(self, rows: DataFrame, version: int, fold: Fold, within: str | None = None) -> set[int]:
+    def merge(self, rows: DataFrame, version: int, fold: Fold) -> set[int]:
         """Folds ``rows`` (``_new`` = 1) and the rows of their buckets (0) into a new version; returns the buckets.
 
         ``fold`` keeps a row of every key.  Versions grow, and a version is written by one
-        writer at a time.  If the rows of few values of ``within``, a column of the key, come
-        together, name it: old rows of other values are written anew, but not dealt for the fold.
+        writer at a time.  Old rows that no new row meets ``within`` are written anew, but not
+        dealt for the fold.
         """
         # Written, not cached: it is read for the buckets and for the fold, and may be larger than memory.
         staged, schema = f"{self.folder}/staged", rows.schema
@@ -101,8 +105,8 @@ class BucketTable:
         old = self.read(version, touched)
         both, others = rows.withColumn("_new", F.lit(1)), None
         if old is not None:
-            if within is not None:
-                old, others = self._apart(rows, old, within)
+            if self.within is not None:
+                old, others = self._apart(rows, old, self.within)
             both = both.unionByName(old.withColumn("_new", F.lit(0)))
         # The fold deals rows by their keys, so every task has rows of any bucket: a large one is written by several.
         folded = fold(both).drop("_new")

@@ -43,7 +43,7 @@ def test_impacted_pairs_for_a_merge(spark):
 def test_old_rows_of_other_commits_are_not_folded(spark, tmp_path, monkeypatch, few):
     monkeypatch.setattr(merge, "FEW_VALUES", few)
     frame = lambda rows: spark.createDataFrame(rows, "commit_id string, spec_id string")
-    store, seen = BucketTable(spark, str(tmp_path), ("commit_id", "spec_id"), 2), []
+    store, seen = BucketTable(spark, str(tmp_path), ("commit_id", "spec_id"), 2, "commit_id"), []
 
     def fold(rows):
         seen.append({tuple(r) for r in rows.where("_new = 0").select("commit_id", "spec_id").collect()})
@@ -51,7 +51,7 @@ def test_old_rows_of_other_commits_are_not_folded(spark, tmp_path, monkeypatch,
 
     old = [("c1", "S"), ("c1", "T"), ("c2", "S"), (None, "S"), (None, "T"), ("c3", None)]
     new = [("c2", "S"), ("c2", "T"), ("c4", "S"), (None, "S"), ("c2", "T")] + [(f"d{i}", "S") for i in range(20)]
-    store.merge(frame(old), 0, fold, within="commit_id")
-    store.merge(frame(new), 1, fold, within="commit_id")
+    store.merge(frame(old), 0, fold)
+    store.merge(frame(new), 1, fold)
     assert sorted(map(tuple, store.read().collect()), key=str) == sorted({*old, *new}, key=str)
     assert seen[1] == ({r for r in old if r[0] in ("c2", None)} if few else set(old))
